@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, near_dedup, toxicity
+from . import line_dedup, mixing, near_dedup, packing, quality, token_counts, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_line_quality": quality.op3_line_quality,
+    "op4_packing": packing.op4_packing,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
