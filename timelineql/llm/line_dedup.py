@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .bloom import bloom_of
 from .common import Scratch, table
 
 MIN_WORDS, FUZZY_WORDS = 3, 8
-BLOOM_BITS = (1 << 20, 1 << 29)
 
 
 def lines(data: np.ndarray, offsets: np.ndarray):
@@ -74,48 +74,28 @@ def _hashed(batches):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[keep])), pa.array(number[keep], pa.int32()), pa.array(K.signed(K.span_hash(sums, a, b))), halves], ["doc_id", "line", "whole", "halves"])
 
 
-class Bloom:
-    """A set of hashes that may say yes too often, never no wrongly. Its size is bounded; a full one lets all through."""
-
-    def __init__(self, n: int):
-        self.bits = int(np.clip(1 << int(np.ceil(np.log2(max(n, 1) * 12))), *BLOOM_BITS))
-        self.table = np.zeros(self.bits >> 3, np.uint8)
-
-    def _places(self, h: np.ndarray):
-        for k in (1, 2, 3):
-            p = K.mix(h + np.uint64(k)) & np.uint64(self.bits - 1)
-            yield (p >> np.uint64(3)).astype(np.int64), np.left_shift(1, p & np.uint64(7)).astype(np.uint8)
-
-    def add(self, h: np.ndarray) -> None:
-        for byte, bit in self._places(h):
-            np.bitwise_or.at(self.table, byte, bit)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for byte, bit in self._places(h):
-            out &= (self.table[byte] & bit) > 0
-        return out
+def _place(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return K.mix(_document(ids) + number.astype(np.uint64))
 
 
-def _place(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return K.mix(K.mix(ids.astype(np.int64).view(np.uint64)) + number.astype(np.uint64))
+def _document(ids: np.ndarray) -> np.ndarray:
+    return K.mix(ids.astype(np.int64).view(np.uint64))
 
 
-def _variants(filters):
+def _variants(documents, places):
     """For the first line of each content that may have a partner: its words, and (key, position) of each word left out; the line itself has -1."""
 
     def run(batches):
-        documents, places = filters.value
         for batch in batches:
             ids = batch.column("doc_id")
             batch = batch.filter(ids.is_valid())
-            hit = documents.has(K.mix(batch.column("doc_id").to_numpy().view(np.uint64))) if batch.num_rows else np.zeros(0, bool)
+            hit = documents.value.has(_document(batch.column("doc_id").to_numpy())) if batch.num_rows else np.zeros(0, bool)
             batch = batch.filter(pa.array(hit))
             for r0, data, offsets in K.blocks(batch.column("text")):
                 row, number, at, h = lines(data, offsets)
                 own = batch.column("doc_id").slice(r0, len(offsets) - 1).to_numpy()[row]
                 n = np.diff(at)
-                keep = np.flatnonzero((n >= FUZZY_WORDS) & places.has(_place(own, number)))
+                keep = np.flatnonzero((n >= FUZZY_WORDS) & places.value.has(_place(own, number)))
                 if not len(keep):
                     continue
                 a, b, n = at[keep], at[keep + 1], n[keep]
@@ -169,8 +149,9 @@ def near_repeats(spark: SparkSession, docs: DataFrame, hashed: DataFrame, scratc
     first = hashed.where("size(halves) > 0").groupBy("whole").agg(F.min(place).alias("at"), F.first("halves").alias("halves"))
     paired = first.select(F.explode("halves").alias("half"), "whole", "at").groupBy("half").agg(F.collect_list("at").alias("at")).where("size(at) > 1")
     places = scratch.save(paired.select(F.explode("at").alias("at")).distinct().select("at.*"), "places")
-    filters = _filters(spark, places)
-    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_variants(filters), "doc_id long, line int, whole long, words array<long>, variants array<struct<key:long,position:int>>"), "variants")
+    documents = bloom_of(spark, places, lambda b: _document(b.column("doc_id").to_numpy()))
+    both = bloom_of(spark, places, lambda b: _place(b.column("doc_id").to_numpy(), b.column("line").to_numpy()))
+    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_variants(documents, both), "doc_id long, line int, whole long, words array<long>, variants array<struct<key:long,position:int>>"), "variants")
     rows = found.select(F.struct("doc_id", "line", "whole").alias("at"), F.inline("variants")).distinct()
     own, apart = F.col("position") < 0, F.col("position") >= 0
 
@@ -181,35 +162,8 @@ def near_repeats(spark: SparkSession, docs: DataFrame, hashed: DataFrame, scratc
     other = F.when(own, F.col("longer")).otherwise(F.least("shorter", "beside"))
     pairs = met.select(F.col("at.whole").alias("whole"), "at", other.alias("other")).where("other < at and other.whole <> whole").select("whole", F.col("other.whole").alias("other")).distinct()
     text = found.groupBy("whole").agg(F.first("words").alias("words"))
-    both = pairs.join(text, "whole").join(text.select(F.col("whole").alias("other"), F.col("words").alias("other_words")), "other")
-    return both.select("whole", "words", "other_words").mapInArrow(_verified, "whole long").distinct()
-
-
-def _filters(spark: SparkSession, places: DataFrame):
-    """Bloom filters of documents and places, made by the executors' tasks in parts and joined bit by bit."""
-    n = places.count()
-    empty = Bloom(n)
-
-    def run(batches):
-        a, b = Bloom(n), Bloom(n)
-        for batch in batches:
-            ids, number = batch.column("doc_id").to_numpy(), batch.column("line").to_numpy()
-            a.add(np.unique(K.mix(ids.view(np.uint64))))
-            b.add(_place(ids, number))
-        for k, x in enumerate((a, b)):
-            for at in np.flatnonzero(x.table.reshape(-1, 4096).any(1)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(at)], pa.int32()), pa.array([x.table[at * 4096 : (at + 1) * 4096].tobytes()], pa.binary())], ["filter", "page", "bits"])
-
-    def joined(t: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
-        return pa.table({"filter": t.column("filter").slice(0, 1), "page": t.column("page").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    out = (empty, Bloom(n))
-    schema = "filter int, page int, bits binary"
-    parts = max(1, min(8, n // 200_000))
-    for r in places.coalesce(parts).mapInArrow(run, schema).groupBy("filter", "page").applyInArrow(joined, schema).toLocalIterator():
-        out[r["filter"]].table[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(out)
+    texts = pairs.join(text, "whole").join(text.select(F.col("whole").alias("other"), F.col("words").alias("other_words")), "other")
+    return texts.select("whole", "words", "other_words").mapInArrow(_verified, "whole long").distinct()
 
 
 def removals(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
