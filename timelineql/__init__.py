@@ -1 +1,79 @@
-"""Temporal questions of event logs, compiled to Spark DataFrames."""
+"""Temporal questions of event logs, compiled to Spark DataFrames.
+
+    import timelineql as tl
+    r = tl.query(events, "sum(value) > 90 inside 7 days after error", pid="user_id", date="ts", cols="event_type", tie=["event_id"])
+    r.pids, r.count, r.pct()
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame
+
+from .config import Config, get_config, set_backend, use
+from .errors import CodeError, ColumnError, PatternStringError, QueryError, QuerySyntaxError, UnsupportedError
+from .operators import batch as _batch
+from .plans import ast
+from .plans.ast import from_json, to_json
+from .plans.parser import parse
+from .plans.prefilter import united as _united
+from .result import Result
+from .sources.eventlog import EventLog, combine, make_test_data
+
+__version__ = "0.1.0"
+
+
+def log_of(df: DataFrame | Sequence[DataFrame] | Mapping[str, DataFrame] | EventLog, config: Config | None = None, **given) -> EventLog:
+    """The table, the union of several, or the log itself, as a log."""
+    if isinstance(df, EventLog):
+        return EventLog(df.df, config or df.config, **given) if config or given else df
+    config = (config or get_config()).but(**given)
+    return EventLog(df if isinstance(df, DataFrame) else _united(df, config), config)
+
+
+def query(df, expr: str | ast.Node, *, config: Config | None = None, strict: bool = False, **given) -> Result:
+    """Asks a table of events, or several (a list, or a dict of names). Settings: see Config. strict: raise CodeError, by one more job, for a prefix or range
+    that no code of the searched columns has."""
+    node = parse(expr) if isinstance(expr, str) else expr
+    log = log_of(df, config, **given)
+    if strict:
+        _check_codes(log, node)
+    lean = None
+    if not isinstance(df, DataFrame | EventLog):
+        lean = EventLog(_united(df, log.config, node), log.config)
+    return Result(log, node, lean)
+
+
+def _check_codes(log: EventLog, node: ast.Node) -> None:
+    from pyspark.sql import functions as F
+
+    from .functions import codes as C
+
+    probes = []
+    for atom in (n for n in node.walk() if isinstance(n, ast.CodeAtom)):
+        columns = log.code_columns if atom.columns is None else C.route_columns(atom.columns, log.df.columns)
+        probes += [(p, C.any_code(log.df, columns, [p], log.config.sep)) for p in C.expand(atom.codes, log.config.variables) if p[0] != "exact"]
+    if probes:
+        seen = log.df.agg(*[F.max(test).alias(f"p{i}") for i, (_, test) in enumerate(probes)]).collect()[0]
+        for (pattern, _), hit in zip(probes, seen):
+            if not hit:
+                raise CodeError(f"no code fits {pattern[1] + ('*' if pattern[0] == 'prefix' else '-' + pattern[2])}")
+
+
+def count_persons(df, expr: str, **given) -> int:
+    return query(df, expr, **given).count
+
+
+def event_counts(df, expr: str, **given) -> DataFrame:
+    return query(df, expr, **given).event_counts
+
+
+def multi_query(df, template: str, *, max_combinations: int = 1000, config: Config | None = None, **given) -> dict[str, int]:
+    return _batch.multi_query(log_of(df, config, **given), template, max_combinations)
+
+
+__all__ = [
+    "CodeError", "ColumnError", "Config", "EventLog", "PatternStringError", "QueryError", "QuerySyntaxError", "Result", "UnsupportedError", "ast", "combine",
+    "count_persons", "event_counts", "from_json", "get_config", "log_of", "make_test_data", "multi_query", "parse", "query", "set_backend", "to_json", "use",
+]
