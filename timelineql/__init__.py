@@ -42,7 +42,7 @@ def query(df, expr: str | ast.Node, *, config: Config | None = None, strict: boo
     lean = None
     if not isinstance(df, DataFrame | EventLog):
         lean = EventLog(_united(df, log.config, node), log.config)
-    return Result(log, node, lean)
+    return Result(log, expr, lean)
 
 
 def _check_codes(log: EventLog, node: ast.Node) -> None:

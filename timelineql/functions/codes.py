@@ -78,9 +78,11 @@ def code_test(df: DataFrame, column: str, patterns: list[tuple[str, str, str]],
     return matches(F.col(f"`{column}`"), patterns) if many is None else F.exists(many, lambda x: matches(x, patterns))
 
 
-def any_code(df: DataFrame, columns: list[str], patterns: list[tuple[str, str, str]], sep: str | None = None) -> Column:
-    """Whether any of the columns matches; never null."""
+def any_code(df: DataFrame, columns: list[str], patterns: list[tuple[str, str, str]], sep: str | None = None, filtering: bool = False) -> Column:
+    """Whether any of the columns matches; never null, but when filtering, where null is as good as false and bare tests reach the scan."""
     tests = [code_test(df, c, patterns, sep) for c in columns]
+    if filtering and tests:
+        return reduce(or_, tests)
     return F.coalesce(reduce(or_, [F.coalesce(t, F.lit(False)) for t in tests]), F.lit(False)) if tests else F.lit(False)
 
 

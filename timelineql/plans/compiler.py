@@ -20,9 +20,6 @@ from ..operators import aggregates as G
 from ..sources.eventlog import DAY, TIE, EventLog
 from . import ast as A
 
-TRUE, FALSE = F.lit, F.lit
-
-
 def bands(direction: str, low: int, high: int) -> list[tuple[int, int]]:
     """Closed ranges of (reference day - event day) that a window of days allows."""
     after, before = (-high, -low), (low, high)
@@ -33,14 +30,14 @@ def bands(direction: str, low: int, high: int) -> list[tuple[int, int]]:
     return [(-high, high)] if low == 0 else [after, before]
 
 
-def atom_test(log: EventLog, node: A.Node) -> Column:
-    """The row test of a code, comparison or event atom; never null."""
+def atom_test(log: EventLog, node: A.Node, filtering: bool = False) -> Column:
+    """The row test of a code, comparison or event atom; never null, but perhaps when filtering."""
     if isinstance(node, A.EventAtom):
         return F.lit(True)
     if isinstance(node, A.ComparisonAtom):
         return G.compared(number(log, node.column), node.op, node.value)
     columns = log.code_columns if node.columns is None else C.route_columns(node.columns, log.df.columns)
-    return C.any_code(log.df, columns, C.expand(node.codes, log.config.variables), log.config.sep)
+    return C.any_code(log.df, columns, C.expand(node.codes, log.config.variables), log.config.sep, filtering)
 
 
 def number(log: EventLog, column: str) -> Column:
@@ -462,4 +459,4 @@ def needed(log: EventLog, node: A.Node) -> Column | None:
             return None
         if isinstance(n, A.CodeAtom | A.ComparisonAtom):
             tests.append(n)
-    return reduce(or_, [atom_test(log, n) for n in dict.fromkeys(tests)]) if tests else None
+    return reduce(or_, [atom_test(log, n, filtering=True) for n in dict.fromkeys(tests)]) if tests else None
