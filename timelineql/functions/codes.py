@@ -69,13 +69,16 @@ def cells(df: DataFrame, column: str, sep: str | None) -> Column | None:
     if isinstance(df.schema[column].dataType, T.ArrayType):
         return F.col(f"`{column}`")
     if sep:
-        return F.transform(F.split(F.col(f"`{column}`"), F.lit("\\Q" + sep + "\\E"), -1), F.trim)
+        return F.transform(F.split(F.col(f"`{column}`"), F.lit("\\Q" + sep + "\\E"), -1), lambda x: F.trim(x))
     return None
 
 
 def code_test(df: DataFrame, column: str, patterns: list[tuple[str, str, str]], sep: str | None) -> Column:
     many = cells(df, column, sep)
-    return matches(F.col(f"`{column}`"), patterns) if many is None else F.exists(many, lambda x: matches(x, patterns))
+    value = F.col(f"`{column}`")
+    if many is None and not isinstance(df.schema[column].dataType, T.StringType):
+        value = value.cast("string")
+    return matches(value, patterns) if many is None else F.exists(many, lambda x: matches(x, patterns))
 
 
 def any_code(df: DataFrame, columns: list[str], patterns: list[tuple[str, str, str]], sep: str | None = None, filtering: bool = False) -> Column:
