@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import Scratch, table, workers_import
+from .near_dedup import shingles
 
 SAMPLE = 10_000
 SEED_SHARE, SEED_RATIO, SEED_Z = 0.01, 8.0, 3.2
@@ -50,11 +51,12 @@ def _sampled(batches):
             h, r = _distinct(data, offsets)
             n = len(offsets) - 1
             o = np.searchsorted(r, np.arange(n + 1))
-            full = np.flatnonzero(np.diff(o))
+            pairs, start = shingles(data, offsets, 2)
+            full = np.flatnonzero(np.diff(start))
             cluster = np.zeros(n, np.uint64)
-            if len(full):  # two minima: most near copies share them
+            if len(full):  # two minima over pairs of words: most near copies share them
                 for seed in (1, 2):
-                    low = np.minimum.reduceat(K.mix(h + np.uint64(seed)), o[full])
+                    low = np.minimum.reduceat(K.mix(pairs + np.uint64(seed)), start[full])
                     cluster[full] = K.mix(cluster[full] ^ low)
             part = batch.slice(a, n)
             words = pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(K.signed(h)))
