@@ -9,7 +9,8 @@
 3. ``position`` is the place in 0..1 of the source's budget: reading all sources in its order mixes them at the target weights throughout.
 
 Defined results: null is a source of its own, like the empty name. doc_id is a document's identity: rows that repeat it are one document, scheduled
-together, of the least source; null is an id too. A source without tokens has no weight, and its documents aren't scheduled.
+together, of the least source; null is an id too. Documents without
+tokens aren't scheduled; a source that has no others has no weight.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def budgets(counts: list[int], budget: int, target: float = TARGET, repeats: flo
 def schedule(spark: SparkSession, docs: DataFrame, budget: int | None = None, target: float = TARGET, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, source, epoch, tokens, position) of every scheduled document and epoch."""
     scratch = scratch or Scratch(spark)
-    sized = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens().alias("tokens")).groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens"))
+    sized = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens().alias("tokens")).groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens")).where("tokens > 0")
     sized = scratch.save(sized, "sized")
     sources = sorted((r["source"], r["tokens"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect())
     counts = [t for _, t in sources]
