@@ -1,0 +1,72 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from timelineql.llm import kernel as K
+from timelineql.llm import license_scan as L
+from timelineql.llm.license_texts import TEMPLATES
+
+
+def matches(df):
+    return sorted(df.collect(), key=lambda r: (r["doc_id"], r["start"]))
+
+
+def test_finds_every_template_amid_noise(spark, make):
+    rng = random.Random(1)
+    noise = lambda n: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    texts, spans = [], []
+    for name, t in TEMPLATES:
+        head = noise(rng.randint(5, 60)) + " é "
+        texts.append(head + t + " " + noise(20))
+        spans.append((len(head), len(head) + len(t)))
+    for k, (r, (a, b)) in enumerate(zip(matches(L.scanned(make(list(enumerate(texts))))), spans)):
+        assert r["doc_id"] == k and r["license"] == TEMPLATES[k][0] and r["coverage"] == 1
+        assert a <= r["start"] <= a + 3 and b - 3 <= r["end"] <= b
+
+
+def test_changed_words_lower_the_coverage(spark, make):
+    t = TEMPLATES[0][1].split()
+    for every in (12, 30):
+        t2 = [w if i % every else "zzz" for i, w in enumerate(t, 1)]
+        t2[40:40] = ["one", "more"]
+        r, = matches(L.scanned(make([(1, " ".join(t2))])))
+        assert r["license"] == "MIT" and abs(r["coverage"] - (1 - 1 / every)) < 0.03
+    assert matches(L.scanned(make([(1, " ".join(t[:60])), (2, "permission is granted to all rights of copies")]))) == []
+
+
+def test_alignment_against_a_full_table():
+    rng = random.Random(2)
+    for _ in range(200):
+        a = np.array([rng.randrange(50) for _ in range(rng.randint(3, 30))], np.uint64)
+        b = a.copy().tolist()
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.choice([0, 1])] = rng.choice([[], [99], [98, 97]])
+        lcs = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                lcs[i + 1, j + 1] = lcs[i, j] + 1 if x == y else max(lcs[i, j + 1], lcs[i + 1, j])
+        pad = [rng.randrange(200, 300) for _ in range(7)]
+        matched, first, last = L.align(a, np.array(pad + b + pad, np.uint64), 7, 8)
+        assert lcs[-1, -1] - 1 <= matched <= lcs[-1, -1] and (not matched or 7 <= first < last <= 7 + len(b))
+
+
+def test_shared_runs_share_fingerprints():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        run = rng.integers(0, 1 << 60, L.GRAM + L.WINDOW - 1, dtype=np.uint64)
+        a, b = (np.concatenate([rng.integers(0, 1 << 60, rng.integers(0, 5), dtype=np.uint64), run, rng.integers(0, 1 << 60, rng.integers(0, 5), dtype=np.uint64)]) for _ in range(2))
+        assert set(L.fingerprints(a, np.array([0, len(a)]))[0]) & set(L.fingerprints(b, np.array([0, len(b)]))[0])
+
+
+def test_odd_rows(spark, odd, none, make):
+    assert L.scanned(odd).count() == 0 and L.scanned(none).count() == 0
+    twice = "All rights reserved. " + "w " * 50 + "all rights\nRESERVED"
+    assert [r["doc_id"] for r in L.scanned(make([(1, twice), (2, twice), (2, twice), (3, "All rights reserved")])).orderBy("doc_id").collect()] == [1, 1, 2, 2, 2, 2, 3]
+    long = "word " * 200_000 + "Released under the MIT License."
+    assert [r["license"] for r in L.scanned(make([(1, long)])).collect()] == ["MIT"]
+    index = L.Index(TEMPLATES)
+    (_, data, offsets), = K.blocks(pa.array(["a"]))
+    h, _, _, o = K.words(data, offsets)
+    assert L.scan(index, h, o) == []

@@ -1,0 +1,65 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from timelineql.llm import search as R
+
+WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
+
+
+def brute(docs, queries, k):
+    words = [(i, WORD.findall((t or "").lower())) for i, t in docs]
+    words = [(i, w) for i, w in words if w]
+    n, mean = len(words), sum(len(w) for _, w in words) / max(1, len(words))
+    df = Counter(x for _, w in words for x in set(w))
+    out = {}
+    for item, text in set(queries):
+        scored = []
+        for i, w in words:
+            tf, s = Counter(w), 0.0
+            for x in WORD.findall((text or "").lower()):
+                if tf[x]:
+                    s += math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf[x] * (R.K1 + 1) / (tf[x] + R.K1 * (1 - R.B + R.B * len(w) / mean))
+            if s > 0:
+                scored.append((-round(s, 6), math.inf if i is None else i))
+        out[item] = sorted(scored)[:k]
+    return out
+
+
+def test_equals_brute_force(spark, make):
+    rng = random.Random(6)
+    vocabulary = [f"w{int(rng.paretovariate(0.6)) % 800}" for _ in range(3000)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(700)] + [(900, "w1 w2 w3"), (901, "w1 w2 w3"), (901, "w1 w2 w3")]
+    queries = [(q, " ".join(rng.choices(vocabulary, k=rng.randint(1, 25)))) for q in range(40)] + [(90, "w1 w1 w2"), (91, "nowhere"), (92, None), (93, ""), (90, "w1 w1 w2")]
+    got = {}
+    for r in R.searched(spark, make(docs), spark.createDataFrame(queries, "item_id long, text string"), 7).collect():
+        got.setdefault(r["item_id"], []).append((r["rank"], -r["score"], r["doc_id"]))
+    want = brute(docs, queries, 7)
+    assert set(got) == {q for q, s in want.items() if s}
+    for q, found in got.items():
+        found.sort()
+        assert [(s, i) for _, s, i in found] == want[q], q
+
+
+def test_blocks_are_skipped_and_nothing_is_lost():
+    rng = np.random.default_rng(1)
+    n = 20_000
+    word = np.concatenate([np.zeros(n // 2, int), np.ones(40, int)])
+    doc = np.concatenate([np.sort(rng.choice(n, n // 2, replace=False)), np.arange(100, 140)])
+    score = np.concatenate([rng.random(n // 2), 5 + rng.random(40)])
+    shard = R.Shard(word, doc, score, 2)
+    docs, scores, read = shard.top(np.array([0, 1]), np.array([1, 1]), 10)
+    total = np.bincount(doc, weights=score, minlength=n)
+    assert read < len(word) / 10 and np.sort(scores)[::-1][:10].tolist() == np.sort(np.round(total, 6))[::-1][:10].tolist()
+    assert set(np.argsort(-np.round(total, 6), kind="stable")[:10]) <= set(docs.tolist())
+
+
+def test_odd_rows(spark, odd, none):
+    queries = spark.createDataFrame([(1, "one two three"), (2, "x")], "item_id long, text string")
+    got = [(r["item_id"], r["rank"], r["doc_id"]) for r in R.searched(spark, odd, queries).orderBy("item_id", "rank").collect()]
+    assert got == [(1, 1, 7), (1, 2, 7), (1, 3, 8), (2, 1, 4)]
+    assert R.searched(spark, none, queries).count() == 0
+    assert R.searched(spark, odd, queries.where("false")).count() == 0
