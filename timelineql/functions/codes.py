@@ -93,11 +93,9 @@ def label_of(df: DataFrame, labels: Mapping[str, str | Iterable[str]], columns:
     """The label of the first column that has one, by the first pattern that fits; labels: label -> patterns. Null without."""
     found = []
     for c in columns:
-        many = cells(df, c, sep)
         pick = None
         for label, patterns in labels.items():
-            test = expand([patterns] if isinstance(patterns, str) else patterns)
-            hit = matches(F.col(f"`{c}`"), test) if many is None else F.exists(many, lambda x, test=test: matches(x, test))
+            hit = code_test(df, c, expand([patterns] if isinstance(patterns, str) else patterns), sep)
             pick = F.when(hit, F.lit(label)) if pick is None else pick.when(hit, F.lit(label))
         if pick is not None:
             found.append(pick)
