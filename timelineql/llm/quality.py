@@ -31,12 +31,14 @@ _DIGIT[ord("0") : ord("9") + 1] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARK = ~K.WORD & ~_SPACE
+_MARK[124] = False
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?:;"]] = True
-#: Bounds of the bins of each feature: share of capitals, marks and digits, words that repeat the one before, bars, mean word length, words.
+#: Bounds of the bins of each feature: share of capitals after a letter, marks but bars a word, share of digits, words that repeat the one before, share of bars,
+#: mean word length, words.
 BINS = [
-    np.array([0.05, 0.15, 0.4]), np.array([0.02, 0.06, 0.12, 0.25]), np.array([0.02, 0.1, 0.3]), np.array([0.02, 0.1, 0.3]), np.array([1e-9, 0.02]),
-    np.array([2.5, 4.0, 6.0, 9.0]), np.array([0.5, 3.5, 8.5, 20.5, 60.5]),
+    np.array([0.02, 0.15, 0.4]), np.array([0.02, 0.35, 1.2, 1.8]), np.array([0.02, 0.1, 0.3]), np.array([0.02, 0.1, 0.3]), np.array([1e-9, 0.02]),
+    np.array([2.5, 4.0, 6.0, 9.0]), np.array([0.5, 8.5, 20.5, 60.5]),
 ]
 _BASE = np.concatenate([[0], np.cumsum([len(b) + 1 for b in BINS])])
 FEATURES = int(_BASE[-1]) + 2
@@ -52,7 +54,10 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     if len(begins):
         newline = (data[ends - 1] == 10).astype(np.int64)
     size = ends - begins - newline
-    count = lambda kind: np.add.reduceat(kind[data], begins, dtype=np.int64) if len(begins) else np.zeros(0, np.int64)
+    total = lambda flag: np.add.reduceat(flag, begins, dtype=np.int64) if len(begins) else np.zeros(0, np.int64)
+    inner = _UPPER[data]
+    inner[1:] &= K.WORD[data[:-1]]
+    inner[offsets[:-1][offsets[:-1] < len(data)]] = False
     s, e = K.word_spans(data, offsets)
     h = K.span_hash(K.running(data), s, e)
     w0 = np.searchsorted(s, begins)
@@ -64,8 +69,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     letters = np.concatenate([[0], np.cumsum(e - s)])
     letters = letters[w0 + words] - letters[w0]
     n, m = np.maximum(size, 1), np.maximum(words, 1)
-    bars = np.add.reduceat(data == 124, begins, dtype=np.int64) if len(begins) else size
-    values = [count(_UPPER) / n, count(_MARK) / n, count(_DIGIT) / n, np.maximum(again, 0) / m, bars / n, letters / m, words]
+    values = [total(inner) / n, total(_MARK[data]) / m, total(_DIGIT[data]) / n, np.maximum(again, 0) / m, total(data == 124) / n, letters / m, words]
     codes = [np.searchsorted(b, v, "right") + base for b, v, base in zip(BINS, values, _BASE)]
     last = np.maximum(ends - newline - 1, 0)
     codes.append(_BASE[-1] + (_END[data[last]] if len(begins) else np.zeros(0, np.int64)))
