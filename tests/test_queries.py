@@ -145,3 +145,13 @@ def test_standing_query(spark, tmp_path):
         q = standing_query(stream, "K50 before K51", str(tmp_path / "log"), lambda out, n: got.update({r["pid"]: r["match"] for r in out.collect()}), tl.Config(), str(tmp_path / "check"), available_now=True)
         q.awaitTermination()
         assert got == ({1: False, 2: False, 3: False} if k == 0 else {1: True, 2: False, 3: True})
+
+
+def test_methods_of_a_log(spark):
+    lg = log(spark, SIMPLE)
+    assert lg.count("K52") == 2 and lg.pct("K52", dropna=False) == pytest.approx(200 / 3) and lg.multi("K5?[2,3]") == {"K52": 2, "K53": 0}
+    assert lg.mask("K52").where("match").count() == 2 and lg.mask("K52", "persons").where("match").count() == 6 and lg.event_counts("K50").where("n = 2").count() == 1
+    assert lg.raw_incidence() == {2020: 3} and lg.stringify_order({"a": "K50", "b": "K51"}).count() == 3 and lg.cross_validate("K50 before K51", {"a": "K50", "b": "K51"}).match
+    assert lg.labels().where("icd_label = 'Diseases of the digestive system'").count() == 9 and lg.count_codes().first()["code"] == "K50" and [e["code"] for e in lg.search_codes("nervous", "icd10")] == ["G00-G99"]
+    with pytest.raises(AttributeError):
+        lg.nothing

@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame
 
 from .config import Config, get_config, set_backend, use
 from .errors import CodeError, ColumnError, PatternStringError, QueryError, QuerySyntaxError, UnsupportedError
+from .functions.codebook import Codebook, count_codes, get_codebook, labelled, reset_codebook
 from .operators import batch as _batch
+from .operators.incidence import fit_decay, incidence, raw_incidence, singles_pattern, washout_pattern
+from .operators.stringeval import StringEvaluator, cross_validate, string_query, string_query_auto
+from .operators.stringify import stringify_durations, stringify_order, stringify_time
 from .plans import ast
 from .plans.ast import from_json, to_json
 from .plans.parser import parse
@@ -74,6 +78,8 @@ def multi_query(df, template: str, *, max_combinations: int = 1000, config: Conf
 
 
 __all__ = [
-    "CodeError", "ColumnError", "Config", "EventLog", "PatternStringError", "QueryError", "QuerySyntaxError", "Result", "UnsupportedError", "ast", "combine",
-    "count_persons", "event_counts", "from_json", "get_config", "log_of", "make_test_data", "multi_query", "parse", "query", "set_backend", "to_json", "use",
+    "CodeError", "Codebook", "ColumnError", "Config", "EventLog", "PatternStringError", "QueryError", "QuerySyntaxError", "Result", "StringEvaluator", "UnsupportedError", "ast", "combine",
+    "count_codes", "count_persons", "cross_validate", "event_counts", "fit_decay", "from_json", "get_codebook", "get_config", "incidence", "labelled", "log_of", "make_test_data", "multi_query",
+    "parse", "query", "raw_incidence", "reset_codebook", "set_backend", "singles_pattern", "string_query", "string_query_auto", "stringify_durations", "stringify_order", "stringify_time", "to_json",
+    "use", "washout_pattern",
 ]

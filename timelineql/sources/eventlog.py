@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,60 @@ class EventLog:
     def year(self, year: int) -> EventLog:
         return self.period(f"{year}-01-01", f"{year}-12-31")
 
+    # -- what can be asked of a log; each is also a function of its module
+
+    def query(self, expr, **given):
+        from .. import query
+
+        return query(self, expr, **given)
+
+    def count(self, expr) -> int:
+        return self.query(expr).count
+
+    def pct(self, expr, dropna: bool = True) -> float:
+        return self.query(expr).pct(dropna)
+
+    def mask(self, expr, level: str = "rows") -> DataFrame:
+        """The events with `match`: of the row, or of its person."""
+        r = self.query(expr)
+        return r.rows if level == "rows" else r.mask(expr, level).drop("m0")
+
+    def event_counts(self, expr) -> DataFrame:
+        return self.query(expr).event_counts
+
+    def multi(self, template: str, max_combinations: int = 1000) -> dict[str, int]:
+        from ..operators.batch import multi_query
+
+        return multi_query(self, template, max_combinations)
+
+    def labels(self, cols=None) -> DataFrame:
+        from ..functions.codebook import labelled
+
+        return labelled(self, cols)
+
+    def count_codes(self, cols=None, per_person: bool = False, pattern: str | None = None) -> DataFrame:
+        from ..functions.codebook import count_codes
+
+        return count_codes(self, cols, per_person, pattern)
+
+    def search_codes(self, keyword: str, system: str | None = None) -> list[dict]:
+        from ..functions.codebook import get_codebook
+
+        return get_codebook(*([self.config.codebooks_dir] if self.config.codebooks_dir else [])).search(keyword, system)
+
+    def __getattr__(self, name: str):
+        """Incidence, pattern strings and the cross-check of evaluators, as methods."""
+        from ..operators import incidence, stringeval, stringify
+
+        home = {
+            **dict.fromkeys(("raw_incidence", "incidence", "washout_pattern", "singles_pattern"), incidence),
+            **dict.fromkeys(("stringify_order", "stringify_time", "stringify_durations"), stringify),
+            **dict.fromkeys(("string_query_auto", "cross_validate"), stringeval),
+        }.get(name)
+        if home is None:
+            raise AttributeError(name)
+        return partial(getattr(home, name), self)
+
 
 def combine(tables: Sequence[DataFrame] | Mapping[str, DataFrame], names: Sequence[str] | None = None, *, pid: str | None = None, date: str | None = None, source_col: str = "__source__", config: Config | None = None) -> DataFrame:
     """The union of event tables by column names, each row with its source's name. Dates that aren't become null; person ids of mixed types, strings."""
