@@ -24,6 +24,7 @@ def test_recall_and_precision_against_brute_force(spark, make):
             texts.append(" ".join(f"n{rng.randrange(5000)}" if rng.random() < rate else w for w in base))
     docs = make(list(enumerate(texts)))
     group = {r["doc_id"]: r["root"] for r in N.groups(spark, docs).collect()}
+    assert group == {r["doc_id"]: r["root"] for r in N.groups(spark, docs, part=2).collect()}
     same = lambda i, j: group.get(i, i) == group.get(j, j)
     pairs = [(i, j, jaccard(texts[i], texts[j])) for i in range(len(texts)) for j in range(i)]
     near = [(i, j) for i, j, s in pairs if s >= 0.7]
@@ -77,3 +78,12 @@ def test_thousands_of_copies(spark, make):
     text = " ".join(f"t{i}" for i in range(80))
     docs = make([(i, text) for i in range(3000)] + [(5000 + i, f"{text} x{i} y{i}") for i in range(200)] + [(9000, re.sub("t", "u", text))])
     assert sorted(r["doc_id"] for r in N.stage(spark, docs, "").collect()) == [0, 9000]
+
+
+def test_parts_hold_every_pair(spark):
+    df = spark.createDataFrame([(1, list(range(10))), (2, [7, 8])], "bucket long, ids array<long>")
+    for part in (1, 2, 3, 10, 50):
+        rows = N.in_parts(df, part).collect()
+        assert {(a, b) for r in rows for a in r["ids"] for b in r["ids"] if a < b} == {(a, b) for a in range(10) for b in range(a + 1, 10)}
+        assert max(len(r["ids"]) for r in rows) <= max(2 * part, 2) or part >= 10
+        assert len({r["bucket"] for r in rows}) == len(rows)

@@ -4,7 +4,8 @@
 2. Documents of equal signatures collapse to their lowest doc_id, so thousands of exact copies cost one row from here on.
 3. Signatures are cut into BANDS; documents that share a band meet in a bucket. Equal buckets are kept once. No bucket is capped: within one, a search
    from document to document compares each reached signature with all not yet reached, which finds exactly the components of the bucket's
-   verified pairs, and emits one edge for each document reached.
+   verified pairs, and emits one edge for each document reached. A bucket of more than PART documents is cut into parts of that size, and each two of
+   them are searched together, which leaves out no pair and keeps what one task holds small.
 4. Edges verified at an estimated Jaccard similarity of THRESHOLD or more go to alternating large-star and small-star rounds, each written
    to the shared folder, until no edge changes: every document then points at the lowest doc_id of its component.
 
@@ -25,6 +26,7 @@ from .common import Scratch, table
 SHINGLE = 3
 HASHES, BANDS = 128, 32
 THRESHOLD = 0.6
+PART = 10_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +157,16 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     return now.select(F.col("a").alias("doc_id"), F.col("b").alias("root"))
 
 
-def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
+def in_parts(buckets: DataFrame, part: int) -> DataFrame:
+    """(bucket, ids) as they are, or for each two parts of a bucket of more than part ids."""
+    n = F.ceil(F.size("ids") / part).cast("int")
+    cut = lambda i: F.slice("ids", i * part + 1, F.lit(part))
+    two = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.concat(cut(i), cut(j)))))
+    each = buckets.select("bucket", F.posexplode(F.when(F.size("ids") <= part, F.array("ids")).otherwise(two)).alias("k", "ids"))
+    return each.select(F.xxhash64("bucket", "k").alias("bucket"), "ids")
+
+
+def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None, part: int = PART) -> DataFrame:
     """(doc_id, root) of every document in a group of near copies but the one that stays, root."""
     scratch = scratch or Scratch(spark)
     signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, whole long, sig binary, bands array<long>"), "signatures")
@@ -166,7 +177,7 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
         first.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
         .where("size(ids) > 1").groupBy("ids").agg(F.min("band").alias("bucket"))
     )
-    buckets = scratch.save(buckets, "buckets")
+    buckets = scratch.save(in_parts(buckets, part), "buckets")
     members = (
         buckets.select("bucket", F.explode("ids").alias("doc_id")).join(signed.select("doc_id", "whole", "sig"), "doc_id")
         .groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("doc_id", "sig"))).alias("members")).select("members")
