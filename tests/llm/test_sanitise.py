@@ -45,3 +45,23 @@ def test_odd_rows(spark, odd, none):
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in S.clean(spark, odd).collect())
     assert got == sorted((str(r["doc_id"]), str(r["text"])) for r in odd.collect())
     assert S.clean(spark, none).count() == 0
+
+
+def test_prefilter_lets_no_mention_out():
+    import random
+
+    import pyarrow as pa
+
+    digits = ["٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "०१२३४५६७८९", "0123456789"]
+    numbers = ["012-345-6789", "123-45-6789", "4556737586899855", "+12 345 678 90"]
+    rng = random.Random(4)
+    texts = [f"call {n.translate(str.maketrans('0123456789', d))} now" for n in numbers for d in digits]
+    texts += ["key " + "a" * 31 + "7", "key " + "abcdefab" * 3 + "abcdef1f", "plain words", "1 2 3", ""]
+    texts += ["".join(rng.choice("٣५7a-@=: .") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choice("0٣-") if rng.random() < 0.9 else rng.choice("ab +(). ") for _ in range(rng.randint(9, 40))) for _ in range(3000)]
+    every = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and S.regex.fullmatch(r"\d", chr(c))]
+    texts += [f"{c * 3}-{c * 3}-{c * 4}" for c in every]
+    passed = set(S._suspects(pa.array(texts)))
+    found = {k for k, t in enumerate(texts) if S.entities(t)}
+    assert len(found) > 400 and not found - passed
+    assert texts.index("plain words") not in passed and texts.index("1 2 3") not in passed

@@ -43,6 +43,9 @@ RULES = [
 ]
 _FINDER = regex.compile("|".join(f"(?P<k{i}>{pattern})" for i, (_, pattern) in enumerate(RULES)))
 _WORD = regex.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
+#: The rules' own digits beyond ASCII: Arrow knows those of an older Unicode only.
+_NATIVE = "".join(regex.findall(r"\d", "".join(map(chr, [*range(128, 0xD800), *range(0xE000, 0x110000)]))))
+_HEADS = f"AKIA|ASIA|gh[opsu]_|sk-|[0-9a-fA-F]{{32}}|[{_NATIVE}]"
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[ord("0") : ord("9") + 1] = 1
 _SIGN = np.zeros(256, bool)
@@ -55,8 +58,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _suspects(column: pa.Array):
-    """Rows that could hold a mention: no rule matches without an @, four digits, an = or :, or the head of a known kind of key."""
-    keys = np.asarray(pc.match_substring_regex(K.strings(column), "AKIA|ASIA|gh[opsu]_|sk-"))
+    """Rows that could hold a mention: no rule matches without an @, four digits, an = or :, a digit of another script, a run of 32 hexadecimal digits, or the head of a known kind of key."""
+    keys = np.asarray(pc.match_substring_regex(K.strings(column), _HEADS))
     for a, data, offsets in K.blocks(column, lower=False):
         full = np.flatnonzero(np.diff(offsets))
         if len(full):
