@@ -65,3 +65,14 @@ def test_prefilter_lets_no_mention_out():
     found = {k for k, t in enumerate(texts) if S.entities(t)}
     assert len(found) > 400 and not found - passed
     assert texts.index("plain words") not in passed and texts.index("1 2 3") not in passed
+
+
+def test_terms_far_from_the_mention_go(spark, make):
+    """Revealing terms go from all of a document that mentions the entity, however far off, and stay in documents that don't."""
+    far = " ".join(f"filler{i}" for i in range(40))
+    rows = [(i, f"Zorblax and {far} then bob@mail.com and {far} at last zorblax") for i in range(4)]
+    rows += [(100 + i, far) for i in range(200)] + [(500, "zorblax alone")]
+    for broadcast in (S.BROADCAST, -1):
+        out = {r["doc_id"]: r for r in S.clean(spark, make(rows), broadcast=broadcast).collect()}
+        assert all("zorblax" not in out[i]["text"].lower() and out[i]["n_terms"] >= 2 for i in range(4))
+        assert far in out[0]["text"] and out[500]["text"] == "zorblax alone"

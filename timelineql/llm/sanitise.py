@@ -1,11 +1,12 @@
 """Information-theoretic sanitisation of personal data: entities are generalised, and so are terms that the corpus shows to reveal them.
 
 1. Recognisers find direct identifiers (RULES): addresses, numbers, keys. Each distinct value is a protected entity.
-2. One pass over the corpus gathers the words within WINDOW words of each mention, with the documents they share: c(e, t), and df(e).
-3. For the words that share SUPPORT documents or more with an entity, one more pass counts df(t) over all documents.
+2. One pass over the corpus gathers the entities and the words of each document with a mention: c(e, t) counts the documents they share, and df(e) those of e.
+3. For these words one more pass counts df(t) over all documents. Pairs are made only of words rare enough to reveal an entity of the document at all;
+   this turns no revealing pair away.
 4. The disclosure of e by t is PMI(e; t) / IC(e): the pointwise mutual information, log N c / (df(e) df(t)), in units of the entity's own information
    content, log N / df(e); 1 says that whoever sees t knows that it is e. From DISCLOSURE on, the word is generalised where it is a number, and removed
-   otherwise, wherever it stands within the window of a mention of e.
+   otherwise, wherever it stands in documents that mention e.
 5. In the last pass mentions become [EMAIL] and the like, and revealing terms go.
 
 What the tasks are sent is a Bloom filter of bounded size, then exact joins; revealing pairs are broadcast as hashes while they are at most BROADCAST,
@@ -21,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .bloom import bloom_of
 from .common import Scratch, table
 
-WINDOW, SUPPORT, DISCLOSURE = 8, 3, 0.7
+SUPPORT, DISCLOSURE = 3, 0.7
 BROADCAST = 4_000_000
 #: In order: of overlapping matches the earliest stays, and of those that begin together the first rule's.
 RULES = [
@@ -69,19 +70,14 @@ def _suspects(column: pa.Array):
             yield from (a + full[(digits >= 4) | marks | keys[a + full]]).tolist()
 
 
-def _near(text: str, found: list) -> list[list[tuple[int, int, str]]]:
-    """For each mention the words around it, outside all mentions."""
-    words = [m for m in _WORD.finditer(text)]
-    begin = np.array([m.start() for m in words])
-    end = np.array([m.end() for m in words])
-    free = np.ones(len(words), bool)
+def _words(text: str, found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words outside all mentions, and their (start, end)."""
+    spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+    free = np.ones(len(spans), bool)
     for s, e, _, _ in found:
-        free[np.searchsorted(end, s, "right") : np.searchsorted(begin, e, "left")] = False
-    out = []
-    for s, e, _, _ in found:
-        i, j = np.searchsorted(end, s, "right"), np.searchsorted(begin, e, "left")
-        out.append([(int(begin[k]), int(end[k]), words[k].group()) for k in range(max(0, i - WINDOW), min(len(words), j + WINDOW)) if free[k]])
-    return out
+        free[np.searchsorted(spans[:, 1], s, "right") : np.searchsorted(spans[:, 0], e, "left")] = False
+    (_, data, offsets), = K.blocks(pa.array([text]))
+    return K.words(data, offsets)[0][free], spans[free]
 
 
 def _hash(s: str) -> int:
@@ -89,28 +85,32 @@ def _hash(s: str) -> int:
     return int(K.span_hash(K.running(data), np.array([0]), np.array([len(data)]))[0])
 
 
-def _pair(entity: int, term: int) -> int:
-    return int(K.mix(np.array([entity], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([term], np.uint64))[0])
+def _own(found: list) -> np.ndarray:
+    """The distinct entities of these mentions."""
+    return np.array(sorted({_hash(f"{kind} {value}") for _, _, kind, value in found}), np.uint64)
+
+
+def _pair(entity: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return K.mix(entity * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _lists(arrays: list) -> pa.Array:
+    at = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(K.signed(np.concatenate([np.zeros(0, np.uint64), *arrays]))))
 
 
 def _gathered(batches):
-    """(entity, word) of each row, each once; word 0 for the entity itself."""
+    """Of each row with mentions: its entities, and its words outside them, each once."""
     for batch in batches:
-        column = batch.column("text")
-        entity, word = [], []
+        column, row, entity, word = batch.column("text"), [], [], []
         for k in _suspects(column):
             text = column[k].as_py()
             found = entities(text)
-            if not found:
-                continue
-            seen = set()
-            for (_, _, kind, value), near in zip(found, _near(text, found)):
-                e = _hash(f"{kind} {value}")
-                seen.add((e, 0))
-                seen.update((e, _hash(w.lower())) for _, _, w in near)
-            entity += [e for e, _ in seen]
-            word += [w for _, w in seen]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(entity, np.uint64).view(np.int64)), pa.array(np.array(word, np.uint64).view(np.int64))], ["entity", "word"])
+            if found:
+                row.append(k)
+                entity.append(_own(found))
+                word.append(np.unique(_words(text, found)[0]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), _lists(entity), _lists(word)], ["doc_id", "entities", "words"])
 
 
 def _frequencies(bloom):
@@ -138,29 +138,39 @@ def _frequencies(bloom):
 
 
 def revealing(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, word, disclosure) of all pairs from DISCLOSURE on."""
+    """(doc_id, entity, word, disclosure): of each document, the pairs from DISCLOSURE on. Of entities that stand in the very same documents, the least stands for all."""
     n = docs.count()
-    counted = docs.select("text").mapInArrow(_gathered, "entity long, word long").groupBy("entity", "word").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
-    counted = counted.withColumn("df", F.max(F.when(F.col("word") == 0, F.col("c"))).over(Window.partitionBy("entity"))).where("word <> 0")
-    pairs = scratch.save(counted, "pairs")
-    words = scratch.save(pairs.select("word").distinct(), "words")
+    row = F.monotonically_increasing_id().alias("row")
+    mentions = scratch.save(docs.mapInArrow(_gathered, "doc_id long, entities array<long>, words array<long>").select(row, "*"), "mentions")
+    words = scratch.save(mentions.select(F.explode("words").alias("word")).distinct(), "words")
     df = docs.select("text").mapInArrow(_frequencies(bloom_of(spark, words)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    pmi = F.log(F.lit(float(n)) * F.col("c") / (F.col("df") * F.greatest("n", "c")))
-    scored = pairs.join(df, "word").where(F.col("df") < n).withColumn("disclosure", F.round(pmi / F.log(F.lit(float(n)) / F.col("df")), 6))
-    return scratch.save(scored.where(F.col("disclosure") >= DISCLOSURE).select("entity", "word", "disclosure"), "revealing")
+    held = mentions.select("row", F.explode("entities").alias("entity"))
+    alike = held.groupBy("entity").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("row")).alias("same")).where(F.col("df") < n)
+    held = scratch.save(held.join(alike.groupBy("same", "df").agg(F.min("entity").alias("entity")), "entity").select("row", "entity", "df"), "held")
+
+    def within_reach(entity):  # a word's disclosure is at most log N / df(t) in units of IC(e)
+        return F.log(F.lit(float(n)) / F.col("n")) >= (DISCLOSURE - 1e-6) * F.log(F.lit(float(n)) / F.col(entity))
+
+    rare = mentions.select("row", "doc_id", F.explode("words").alias("word")).join(df, "word").join(held.groupBy("row").agg(F.max("df").alias("most")), "row").where(within_reach("most"))
+    pairs = scratch.save(rare.drop("most").join(held, "row").where(within_reach("df")).select("doc_id", "entity", "word", "df", "n"), "pairs")
+    counted = pairs.groupBy("entity", "word", "df", "n").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
+    pmi = F.log(F.lit(float(n)) * F.col("c") / (F.col("df") * F.col("n")))
+    scored = counted.withColumn("disclosure", F.round(pmi / F.log(F.lit(float(n)) / F.col("df")), 6)).where(F.col("disclosure") >= DISCLOSURE)
+    return scratch.save(pairs.select("doc_id", "entity", "word").distinct().join(scored.select("entity", "word", "disclosure"), ["entity", "word"]).select("doc_id", "entity", "word", "disclosure"), "revealing")
 
 
 def sanitised(text: str, reveals) -> tuple[str, int, int]:
-    """The text without its entities and the words for which reveals(entity, word) holds; how many there were of each."""
+    """The text without its entities and the words for which reveals(entity, words) holds; how many there were of each. Word 0 asks whether the entity has any."""
     found = entities(text)
     if not found:
         return text, 0, 0
     cuts = {(s, e): f"[{kind}]" for s, e, kind, _ in found}
-    terms = set()
-    for (_, _, kind, value), near in zip(found, _near(text, found)):
-        entity = _hash(f"{kind} {value}")
-        terms.update((s, e) for s, e, w in near if reveals(entity, _hash(w.lower())))
-    for s, e in terms:
+    own = [e for e in np.split(_own(found), np.arange(1, len(found))) if len(e) and np.any(reveals(e, np.zeros(1, np.uint64)))]
+    terms = np.zeros((0, 2), np.int64)
+    if own:
+        words, spans = _words(text, found)
+        terms = spans[np.logical_or.reduce([reveals(e, words) for e in own])]
+    for s, e in terms.tolist():
         cuts[s, e] = "[NUMBER]" if text[s:e].isdigit() else ""
     parts, at = [], 0
     for (s, e), new in sorted(cuts.items()):
@@ -184,10 +194,9 @@ def _cleaned(pairs):
             for k in _suspects(column):
                 known = pairs.value if own is None else np.array(sorted(set(own[k] or [])), np.int64)
 
-                def reveals(entity, word, known=known):
-                    h = np.array([_pair(entity, word)], np.uint64).view(np.int64)[0]
-                    i = int(np.searchsorted(known, h))
-                    return i < len(known) and known[i] == h
+                def reveals(entity, words, known=known):
+                    h = _pair(entity, words).view(np.int64)
+                    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
                 texts[k], counts[k, 0], counts[k, 1] = sanitised(texts[k], reveals)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["doc_id", "text", "n_entities", "n_terms"])
@@ -204,23 +213,15 @@ def clean(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None,
     def hashed(batches):
         for batch in batches:
             e, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("entity", "word"))
-            yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(K.signed(K.mix(e * np.uint64(0x9E3779B97F4A7C15) + w)))], ["entity", "pair"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(K.signed(_pair(e, w)))], ["doc_id", "pair"])
 
-    pairs = pairs.mapInArrow(hashed, "entity long, pair long")
-    if pairs.count() <= broadcast:
-        known = np.sort(np.array([r["pair"] for r in pairs.select("pair").toLocalIterator()], np.int64))
+    pairs = pairs.select("doc_id", "entity", F.explode(F.array("word", F.lit(0))).alias("word")).mapInArrow(hashed, "doc_id long, pair long")
+    each = scratch.save(pairs.select("pair").distinct(), "hashes")
+    if each.count() <= broadcast:
+        known = np.sort(np.array([r["pair"] for r in each.toLocalIterator()], np.int64))
         return docs.mapInArrow(_cleaned(spark.sparkContext.broadcast(known)), _SCHEMA)
 
-    def mentioned(batches):
-        for batch in batches:
-            column, ids, entity = batch.column("text"), [], []
-            for k in _suspects(column):
-                for v in {_hash(f"{kind} {value}") for _, _, kind, value in entities(column[k].as_py())}:
-                    ids.append(batch.column("doc_id")[k].as_py())
-                    entity.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(entity, np.uint64).view(np.int64))], ["doc_id", "entity"])
-
-    by_doc = docs.mapInArrow(mentioned, "doc_id long, entity long").join(pairs, "entity").groupBy("doc_id").agg(F.collect_set("pair").alias("pairs")).withColumnRenamed("doc_id", "_llm_id")
+    by_doc = pairs.groupBy("doc_id").agg(F.collect_set("pair").alias("pairs")).withColumnRenamed("doc_id", "_llm_id")
     both = docs.join(by_doc.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_llm_id")), "left").select("doc_id", "text", "pairs")
     return both.mapInArrow(_cleaned(None), _SCHEMA)
 
