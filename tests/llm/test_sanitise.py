@@ -76,3 +76,11 @@ def test_terms_far_from_the_mention_go(spark, make):
         out = {r["doc_id"]: r for r in S.clean(spark, make(rows), broadcast=broadcast).collect()}
         assert all("zorblax" not in out[i]["text"].lower() and out[i]["n_terms"] >= 2 for i in range(4))
         assert far in out[0]["text"] and out[500]["text"] == "zorblax alone"
+
+
+def test_rare_entities_are_measured(spark, make):
+    """Entities of one and of two documents lose the words that reveal them, and only those."""
+    rows = [(i, f"plain words of number {i % 50} and more of them here for all") for i in range(300)]
+    rows += [(1000, "words of zorblax and more for bob@mail.com"), (1001, "words of grumwort for al@mail.com"), (1002, "more of grumwort and al@mail.com")]
+    out = {r["doc_id"]: r["text"] for r in S.clean(spark, make(rows)).collect()}
+    assert out[1000] == "words of and more for [EMAIL]" and out[1001] == "words of for [EMAIL]" and out[1002] == "more of and [EMAIL]"

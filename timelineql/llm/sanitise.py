@@ -4,9 +4,10 @@
 2. One pass over the corpus gathers the entities and the words of each document with a mention: c(e, t) counts the documents they share, and df(e) those of e.
 3. For these words one more pass counts df(t) over all documents. Pairs are made only of words rare enough to reveal an entity of the document at all;
    this turns no revealing pair away.
-4. The disclosure of e by t is PMI(e; t) / IC(e): the pointwise mutual information, log N c / (df(e) df(t)), in units of the entity's own information
-   content, log N / df(e); 1 says that whoever sees t knows that it is e. From DISCLOSURE on, the word is generalised where it is a number, and removed
-   otherwise, wherever it stands in documents that mention e.
+4. The disclosure of e by t is PMI(e; t) / IC(e): the pointwise mutual information, log p(t | e) / p(t), in units of the entity's own information
+   content, log N / df(e), where p(t | e) is shrunk towards p(t) by PRIOR documents, so that entities of one document are measured like all
+   others; 1 says that whoever sees t knows that it is e. From DISCLOSURE on, the word is generalised where it is a number, and removed otherwise,
+   wherever it stands in documents that mention e.
 5. In the last pass mentions become [EMAIL] and the like, and revealing terms go.
 
 What the tasks are sent is a Bloom filter of bounded size, then exact joins; revealing pairs are broadcast as hashes while they are at most BROADCAST,
@@ -29,7 +30,7 @@ from . import kernel as K
 from .bloom import bloom_of
 from .common import Scratch, table
 
-SUPPORT, DISCLOSURE = 3, 0.7
+DISCLOSURE, PRIOR = 0.7, 1.0
 BROADCAST = 4_000_000
 #: In order: of overlapping matches the earliest stays, and of those that begin together the first rule's.
 RULES = [
@@ -153,8 +154,9 @@ def revealing(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFra
 
     rare = mentions.select("row", "doc_id", F.explode("words").alias("word")).join(df, "word").join(held.groupBy("row").agg(F.max("df").alias("most")), "row").where(within_reach("most"))
     pairs = scratch.save(rare.drop("most").join(held, "row").where(within_reach("df")).select("doc_id", "entity", "word", "df", "n"), "pairs")
-    counted = pairs.groupBy("entity", "word", "df", "n").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
-    pmi = F.log(F.lit(float(n)) * F.col("c") / (F.col("df") * F.col("n")))
+    counted = pairs.groupBy("entity", "word", "df", "n").agg(F.count("*").alias("c"))
+    part = (F.col("c") + PRIOR * F.col("n") / n) / (F.col("df") + PRIOR)
+    pmi = F.log(F.lit(float(n)) * part / F.col("n"))
     scored = counted.withColumn("disclosure", F.round(pmi / F.log(F.lit(float(n)) / F.col("df")), 6)).where(F.col("disclosure") >= DISCLOSURE)
     return scratch.save(pairs.select("doc_id", "entity", "word").distinct().join(scored.select("entity", "word", "disclosure"), ["entity", "word"]).select("doc_id", "entity", "word", "disclosure"), "revealing")
 
