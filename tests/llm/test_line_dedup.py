@@ -75,3 +75,10 @@ def test_hot_line_and_counts(spark, make):
     assert out.where("n <> n_chars").count() == 0
     assert out.where("text like 'a shared%'").count() == 1 and out.count() == 300
     Scratch(spark).drop()
+
+
+def test_short_lines_keep_a_document(spark, make):
+    """A document whose only long line is a repeat stays for its short lines; one of nothing but repeats and marks goes."""
+    head = "this header stands in all of the documents here"
+    out = {r["doc_id"]: r["text"] for r in L.stage(spark, make([(1, head), (2, head + "\nalpha\nbeta 7"), (3, head + "\n--\n\n"), (4, "日本\n" + head)]), "").collect()}
+    assert out == {1: head, 2: "alpha\nbeta 7", 4: "日本"}

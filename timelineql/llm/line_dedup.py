@@ -197,13 +197,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, with texts cut and n_chars set anew; a document that lost lines and has no other of MIN_WORDS words goes, being nothing but repeats."""
-    out = cut(docs, removals(spark, docs)).where("not coalesce(_llm_nothing, false)")
+    """The columns of documents, with texts cut and n_chars set anew; a document that lost lines and has no word left goes, being nothing but repeats."""
+    out = cut(docs, removals(spark, docs)).where(~F.coalesce("_llm_nothing", F.lit(False)) | F.col("text").rlike(_WORD))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_llm_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
+_WORD = r"[^\x00-/:-@\[-`{-\x7f]"
 _WORDS = r"'[^\x00-/:-@\[-`{-\x7f]+'"
 SQL = rf"""
 with l as (
