@@ -144,3 +144,11 @@ def test_incidence_corrects_a_short_history(spark):
     spread = lambda x: max(x.values()) / min(x.values())
     assert set(raw) == set(found) == set(range(2010, 2020)) and raw[2010] > 300 and spread(found) < spread(raw) and found[2010] < raw[2010]
     assert all(v >= 0 for v in I.incidence(lg, required_events=2, washout="historical", lookahead="historical").values())
+
+
+def test_codebook_has_all_codes():
+    B.reset_codebook()
+    b = B.get_codebook()
+    atc = [e for e in b.entries if e["system"] == "atc"]
+    assert len(atc) == 54 and b.label("A10BA02") == "Biguanides" and b.label("L04AC05") == "Ustekinumab" and b.label("N06AB10") == "Antidepressants"
+    assert len(b.get("L04A*")) == 8 and {e["code"] for e in b.search("statin")} == {"C10AA"} and {e["level"] for e in atc} == {"1", "2", "3", "4", "5"}
