@@ -70,3 +70,29 @@ def test_odd_rows(spark, odd, none, make):
     (_, data, offsets), = K.blocks(pa.array(["a"]))
     h, _, _, o = K.words(data, offsets)
     assert L.scan(index, h, o) == []
+
+
+def test_texts_close_together_are_each_reported(spark, make):
+    """Runs that recur within a template must not chain neighbouring copies into one match."""
+    mit = TEMPLATES[0][1]
+    gaps, rows, spans = [0, 5, 20, 60, 120], [], []
+    for k, n in enumerate(gaps):
+        between = " " + "w " * n + ("and the software to the of the software " if n == 60 else "")
+        rows.append((k, "x y " + between.join([mit] * 3)))
+        spans.append([4 + i * (len(mit) + len(between)) for i in range(3)])
+    got = {}
+    for r in matches(L.scanned(make(rows))):
+        got.setdefault(r["doc_id"], []).append((r["license"], r["start"], r["coverage"]))
+    assert got == {k: [("MIT", a, 1.0) for a in spans[k]] for k in range(len(gaps))}
+
+
+def test_long_insertions_are_bridged():
+    t = TEMPLATES[0][1].split()
+    for k in (40, 80, 120):
+        t[k:k] = [f"in{k}x{i}" for i in range(15)]
+    index = L.Index(TEMPLATES)
+    for copies in (1, 3):
+        (_, data, offsets), = K.blocks(pa.array([" ".join([TEMPLATES[0][1], *t] * copies)]))
+        h, _, _, o = K.words(data, offsets)
+        found = [m for m in L.scan(index, h, o) if m[1] == 0]
+        assert len(found) == 2 * copies and all(m[2] >= 0.95 * len(index.words[0]) for m in found)

@@ -5,8 +5,8 @@
    goes along with the tasks.
 2. A document's fingerprints are looked up as they are made. Each hit says where its template would start; hits of a template whose starts are within a
    band of each other form a candidate, if they hold at least MIN_HITS of the template's fingerprints.
-3. The candidate's stretch is aligned with the template inside the band (match 1, mismatch and gap less), and reported if matching words are at
-   least COVERAGE of the template's. Of overlapping reports the one with more matching words stays, then the better covered, then the earlier template.
+3. At the peaks of a candidate's hits by start, in turn, the template is aligned inside the band (match 1, mismatch and gap less), and reported if matching
+   words are at least COVERAGE of the template's. Of overlapping reports the one with more matching words stays, then the better covered, then the earlier template.
 
 One pass over the documents without a shuffle. A row per match: start and end are places in characters, end exclusive.
 
@@ -102,6 +102,48 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int
     return matched, (first if first is not None else 0), last
 
 
+def _within(b: np.ndarray, base: int, a: np.ndarray, start: np.ndarray, place: np.ndarray, band: int, least: int) -> list[tuple[int, int, int]]:
+    """Matches (matching words, first word, last word + 1) of a in a candidate: at the peaks of its hits by diagonal in turn, until no stretch of a band has enough of them."""
+    out, left = [], np.ones(len(start), bool)
+    while left.any():
+        s, p = start[left], place[left]  # sorted by start
+        upto = np.searchsorted(s, s + band, "right")
+        low = int(np.argmax(upto - np.arange(len(s))))
+        high = int(upto[low])
+        if high - low < least:
+            break
+        middle = int(np.median(s[low:high]))
+        begin, end = max(0, middle - base - band), min(len(b), middle - base + len(a) + band)
+        for _, x, y in out:  # what is matched isn't aligned again
+            if x - base <= middle - base + len(a) // 2:
+                begin = max(begin, y - base)
+            else:
+                end = min(end, x - base)
+        enough = begin < end and len(np.unique(p[low:high])) >= least
+        matched, x, y = align(a, b[begin:end], middle - base - begin, band) if enough else (0, 0, 0)
+        word = start + place
+        if matched >= COVERAGE * len(a):
+            x, y = base + begin + x, base + begin + y
+            out.append((matched, x, y))
+            left &= (word < x) | (word >= y)
+        left[np.flatnonzero((start >= s[low]) & (start <= s[high - 1]))] = False
+    ends = sorted((x, y) for _, x, y in out)
+    rest = list(zip([base, *(y for _, y in ends)], [*(x for x, _ in ends), base + len(b)]))
+    while rest:  # texts with long insertions, whose hits drift by more than a band, are in what the peaks leave
+        begin, end = rest.pop()
+        mine = (start + place >= begin) & (start + place < end)
+        if len(np.unique(place[mine])) < least:
+            continue
+        low, high = int(start[mine][0]), int(start[mine][-1])
+        middle, wide = (low + high) // 2, band + (high - low + 1) // 2
+        first = max(begin, middle - wide)
+        matched, x, y = align(a, b[first - base : min(end, middle + len(a) + wide) - base], middle - first, wide) if first < end else (0, 0, 0)
+        if matched >= COVERAGE * len(a):
+            out.append((matched, first + x, first + y))
+            rest += [(begin, first + x), (first + y, end)]
+    return out
+
+
 def scan(index: Index, h: np.ndarray, o: np.ndarray):
     """Matches (row, template, matching words, first word, last word + 1) in rows of word hashes."""
     g, at = fingerprints(h, o)
@@ -124,14 +166,8 @@ def scan(index: Index, h: np.ndarray, o: np.ndarray):
     found = []
     for k in np.flatnonzero(enough):
         t, r = int(template[first[k]]), int(row[first[k]])
-        a, low, high = index.words[t], int(start[first[k]]), int(start[first[k + 1] - 1])
-        middle = (low + high) // 2
-        wide = index.band[t] + (high - low + 1) // 2
-        base = max(int(o[r]), middle - wide)
-        b = h[base : min(int(o[r + 1]), middle + len(a) + wide)]
-        matched, x, y = align(a, b, middle - base, wide)
-        if matched >= COVERAGE * len(a):
-            found.append((r, t, matched, base + x, base + y))
+        a, mine = index.words[t], slice(first[k], first[k + 1])
+        found += [(r, t, *m) for m in _within(h[o[r] : o[r + 1]], int(o[r]), a, start[mine], place[mine], index.band[t], max(1, int(np.ceil(MIN_HITS * index.prints[t]))))]
     found.sort(key=lambda m: (m[0], -m[2], -m[2] / len(index.words[m[1]]), m[1], m[3]))
     kept, here = [], {}
     for m in found:
