@@ -108,10 +108,31 @@ def sequence_sums(h: np.ndarray) -> np.ndarray:
     return s
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, byte starts and ends of the words, and for each row the index of its first word (and the end)."""
-    s, e = word_spans(data, offsets)
-    return span_hash(running(data), s, e), s, e, np.searchsorted(s, offsets)
+def stretches(data: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Cuts bytes into stretches of about limit bytes that end between words; a longer word is in one stretch."""
+    a = 0
+    while a < len(data):
+        b = min(len(data), a + limit)
+        while b < len(data) and WORD[data[b - 1]] and WORD[data[b]]:
+            free = np.flatnonzero(~WORD[data[b : b + limit]])
+            b = b + int(free[0]) if len(free) else min(len(data), b + limit)
+        yield a, b
+        a = b
+
+
+def words(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, byte starts and ends of the words, and for each row the index of its first word (and the end). A long row is worked through in stretches,
+    so that what is held besides the result doesn't grow with it."""
+    if len(data) <= 2 * limit:
+        s, e = word_spans(data, offsets)
+        return span_hash(running(data), s, e), s, e, np.searchsorted(s, offsets)
+    parts = []
+    for a, b in stretches(data, limit):
+        inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b)]
+        s, e = word_spans(data[a:b], np.concatenate([[a], inner, [b]]) - a)
+        parts.append((span_hash(running(data[a:b]), s, e), s + a, e + a))
+    h, s, e = (np.concatenate(x) for x in zip(*parts))
+    return h, s, e, np.searchsorted(s, offsets)
 
 
 def word_hash(word: str) -> int:
