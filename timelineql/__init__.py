@@ -36,9 +36,9 @@ def log_of(df: DataFrame | Sequence[DataFrame] | Mapping[str, DataFrame] | Event
     return EventLog(df if isinstance(df, DataFrame) else _united(df, config), config)
 
 
-def query(df, expr: str | ast.Node, *, config: Config | None = None, strict: bool = False, **given) -> Result:
-    """Asks a table of events, or several (a list, or a dict of names). Settings: see Config. strict: raise CodeError, by one more job, for a prefix or range
-    that no code of the searched columns has."""
+def query(df, expr: str | ast.Node, *, config: Config | None = None, strict: bool = True, **given) -> Result:
+    """Asks a table of events, or several (a list, or a dict of names). Settings: see Config. strict: raise CodeError for a prefix or range that no code of
+    the searched columns has. That takes a job for each, which ends at the first code that fits; queries of exact codes take none."""
     node = parse(expr) if isinstance(expr, str) else expr
     log = log_of(df, config, **given)
     if strict:
@@ -50,18 +50,12 @@ def query(df, expr: str | ast.Node, *, config: Config | None = None, strict: boo
 
 
 def _check_codes(log: EventLog, node: ast.Node) -> None:
-    from pyspark.sql import functions as F
-
     from .functions import codes as C
 
-    probes = []
     for atom in (n for n in node.walk() if isinstance(n, ast.CodeAtom)):
         columns = log.code_columns if atom.columns is None else C.route_columns(atom.columns, log.df.columns)
-        probes += [(p, C.any_code(log.df, columns, [p], log.config.sep)) for p in C.expand(atom.codes, log.config.variables) if p[0] != "exact"]
-    if probes:
-        seen = log.df.agg(*[F.max(test).alias(f"p{i}") for i, (_, test) in enumerate(probes)]).collect()[0]
-        for (pattern, _), hit in zip(probes, seen):
-            if not hit:
+        for pattern in C.expand(atom.codes, log.config.variables):
+            if pattern[0] != "exact" and log.df.where(C.any_code(log.df, columns, [pattern], log.config.sep)).isEmpty():
                 raise CodeError(f"no code fits {pattern[1] + ('*' if pattern[0] == 'prefix' else '-' + pattern[2])}")
 
 

@@ -199,7 +199,14 @@ def incidence(log: EventLog, expr: str | None = None, *, required_events: int =
     if lookahead not in ("none", "historical", "functional", "auto"):
         raise ValueError(f"lookahead is none, historical, functional or auto, not {lookahead!r}")
     ahead = {"auto": "functional"}.get(lookahead, lookahead) if required_events >= 2 else "none"
-    ev = events(log, expr, 1 if ahead != "none" else required_events)
+    ev = events(log, expr, 1 if ahead != "none" else required_events).persist()  # three narrow columns, that up to six jobs read; what doesn't fit in memory goes to disk
+    try:
+        return _incidence(ev, required_events, washout, ahead, model, step_days)
+    finally:
+        ev.unpersist()
+
+
+def _incidence(ev: DataFrame, required_events: int, washout: str, ahead: str, model: str, step_days: int) -> dict[int, float]:
     raw = {r["year"]: float(r["n"]) for r in raw_table(ev).orderBy("year").collect()}
     if not raw:
         return {}

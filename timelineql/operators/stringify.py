@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from ..errors import ColumnError
 from ..functions import stringops as S
 from ..functions.codes import any_code, expand, label_of
-from ..sources.eventlog import DAY, TIE, EventLog
+from ..sources.eventlog import DAY, TIE, EventLog, day_of
 
 Labels = Mapping[str, str | Sequence[str]]
 Bound = str | dt.date | Mapping | None
 
 
 def prepared(log: EventLog, codes: Labels, first_date: Bound = None, last_date: Bound = None) -> DataFrame:
-    """The labelled events of known persons and days within the bounds, with columns __day, __tie and __label. A bound is a date, a column, or a date per person."""
+    """The labelled events of known persons and days within the bounds, with columns __day, __tie and __label. A bound is a date, a column, or a date per person;
+    events and persons whose bound is missing or no date are left out."""
     patterns = [p for v in codes.values() for p in expand([v] if isinstance(v, str) else v)]
     df = log.prepared().where(any_code(log.df, log.code_columns, patterns, log.config.sep)).where(log.pid.isNotNull() & F.col(DAY).isNotNull())
     for bound, last in ((first_date, False), (last_date, True)):
@@ -28,8 +29,8 @@ def prepared(log: EventLog, codes: Labels, first_date: Bound = None, last_date:
             given = df.sparkSession.createDataFrame([(k, str(v)[:10]) for k, v in bound.items()], f"`__p` {log.df.schema[log.config.pid].dataType.simpleString()}, __b string")
             df = df.join(given, log.pid == F.col("__p"), "left").withColumn("__b", F.unix_date(F.to_date("__b"))).drop("__p")
         else:
-            edge = F.col(f"`{bound}`") if isinstance(bound, str) and bound in df.columns else F.lit(str(bound))
-            df = df.withColumn("__b", F.unix_date(F.to_date(edge)))
+            edge = day_of(df, bound) if isinstance(bound, str) and bound in df.columns else F.unix_date(F.to_date(F.lit(str(bound))))
+            df = df.withColumn("__b", edge)
         df = df.where(F.col(DAY) <= F.col("__b") if last else F.col(DAY) >= F.col("__b")).drop("__b")
     return df.withColumn("__label", label_of(log.df, codes, log.code_columns, log.config.sep)).where("__label is not null")
 
@@ -79,7 +80,7 @@ def stringify_durations(log: EventLog, codes: Labels, *, event_end: str | None =
     first = events.groupBy(log.config.pid).agg(F.min(DAY).alias("__first"))
     at = F.floor((F.col(DAY) - F.col("__first")) / step).cast("int")
     if end is not None:
-        to = F.floor((F.unix_date(F.to_date(F.col(f"`{end}`"))) - F.col("__first")) / step).cast("int")
+        to = F.floor((day_of(events, end) - F.col("__first")) / step).cast("int")
     else:
         to = at + F.floor(F.col(f"`{days}`") / step).cast("int")
     return _tracks(log, events.join(first, log.config.pid).withColumns({"__from": at, "__to": to}), codes, no_event, merge)

@@ -28,13 +28,16 @@ class Result:
         return self.log.config.pid
 
     def flagged(self, *more: A.Node, log: EventLog | None = None, evaluable: bool = False) -> DataFrame:
-        """The events with a column `match`, then m0.. for more nodes, and `evaluable` if asked."""
-        plan = RowPlan(log or self.log)
+        """The events with a column `match`, then m0.. for more nodes, and `evaluable` if asked. Events of null ids are of no person, and match nothing."""
+        log = log or self.log
+        plan = RowPlan(log.of_persons())
         columns = [plan.mask(n) for n in (self.node, *more)]
-        answer = plan.evaluable(self.node) if evaluable else None
         names = ["match", *(f"m{i}" for i in range(len(more)))]
-        out = plan.df.select(*[F.col(f"`{c}`") for c in self.log.df.columns if c not in names and c != "evaluable"], *[c.alias(n) for c, n in zip(columns, names)], *([answer.alias("evaluable")] if evaluable else []))
-        return out
+        if evaluable:
+            columns, names = [*columns, plan.evaluable(self.node)], [*names, "evaluable"]
+        kept = [F.col(f"`{c}`") for c in self.log.df.columns if c not in names and c != "evaluable"]
+        out = plan.df.select(*kept, *[c.alias(n) for c, n in zip(columns, names)])
+        return out.union(log.df.where(log.pid.isNull()).select(*kept, *[F.lit(False).alias(n) for n in names]))
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -103,15 +106,17 @@ class Result:
         check(node)
         if level == "rows":
             return self.flagged(node)
-        plan = RowPlan(self.log)
+        plan = RowPlan(self.log.of_persons())
         match, other = plan.any_of(plan.mask(self.node)), plan.any_of(plan.mask(node))
-        return plan.df.select(*[F.col(f"`{c}`") for c in self.log.df.columns], match.alias("match"), other.alias("m0"))
+        kept = [F.col(f"`{c}`") for c in self.log.df.columns]
+        nobody = self.log.df.where(self.log.pid.isNull()).select(*kept, F.lit(False).alias("match"), F.lit(False).alias("m0"))
+        return plan.df.select(*kept, match.alias("match"), other.alias("m0")).union(nobody)
 
     def filter(self, level: str = "persons") -> DataFrame:
-        """The matching events, or all events of matching persons."""
+        """The matching events, or all events of matching persons; none of null ids."""
         if level not in ("rows", "persons"):
             raise ValueError(f"level is 'rows' or 'persons', not {level!r}")
-        plan = RowPlan(self.log)
+        plan = RowPlan(self.log.of_persons())
         m = plan.mask(self.node)
         if level == "persons":
             m = plan.any_of(m)

@@ -17,6 +17,14 @@ from ..functions.codes import code_columns
 DAY, TIE = "__day", "__tie"
 
 
+def day_of(df: DataFrame, column: str) -> Column:
+    """The day of a column of dates, times or texts as a whole number; null where there's none, or a text is no date."""
+    date = F.col(f"`{column}`")
+    if isinstance(df.schema[column].dataType, T.StringType):
+        date = F.try_to_timestamp(date)
+    return F.unix_date(F.to_date(date))
+
+
 class EventLog:
     """A table and its settings. Events are ordered by day, then date, then the tie columns; without those, by their order as read, which holds for one
     plan over unchanged files but not for shuffled input: name tie columns where that matters."""
@@ -38,12 +46,13 @@ class EventLog:
     def pid(self) -> Column:
         return F.col(f"`{self.config.pid}`")
 
+    def of_persons(self) -> EventLog:
+        """The log without events of null ids, which belong to no person: they would all meet in one partition."""
+        return EventLog(self.df.where(self.pid.isNotNull()), self.config)
+
     def day(self) -> Column:
         """The day as a whole number; null where there's no date."""
-        date = F.col(f"`{self.config.date}`")
-        if isinstance(self.df.schema[self.config.date].dataType, T.StringType):
-            date = F.try_to_timestamp(date)
-        return F.unix_date(F.to_date(date))
+        return day_of(self.df, self.config.date)
 
     def prepared(self, ordered: bool = True) -> DataFrame:
         """The table with its day and, if ordered, a struct to order events of a day by."""
@@ -54,9 +63,9 @@ class EventLog:
         return out.withColumn(TIE, F.struct(F.col(f"`{self.config.date}`").alias("date"), *[t.alias(f"t{i}") for i, t in enumerate(tie)]))
 
     def period(self, start: str | None = None, end: str | None = None) -> EventLog:
-        """Only the events from start to end, both included; queries then know of no others."""
-        df = self.df
-        date = F.to_date(F.col(f"`{self.config.date}`"))
+        """Only the events from start to end, both included; queries then know of no others. Events without a date are in no period."""
+        df, text = self.df, isinstance(self.df.schema[self.config.date].dataType, T.StringType)
+        date = F.date_from_unix_date(self.day()) if text else F.to_date(F.col(f"`{self.config.date}`"))
         if start is not None:
             df = df.where(date >= F.to_date(F.lit(start)))
         if end is not None:
