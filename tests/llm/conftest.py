@@ -23,7 +23,7 @@ def odd(make):
     long = "word%d " * 20_000 % tuple(range(20_000))
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "x"), (5, "!!! ???"), (6, long), (7, "one two three four five six seven eight nine ten"), (7, "one two three four five six seven eight nine ten"), (None, "a text without any id at all, is it"), (8, "one two three four five six seven eight nine ten", None), (9, "\n\n\nlast line of it\n"), (10, "ÄÖÜ ß ñandú 日本語 \U0001f600 end")]
     df = make(rows)
-    clash = ["tokens", "word", "score", "whole", "line", "root", "position", "epoch", "block", "bin_id", "pairs", "rank", "quality", "toxic", "a", "b", "at", "n", "text2"]
+    clash = ["tokens", "word", "score", "whole", "line", "root", "position", "epoch", "block", "bin_id", "pairs", "rank", "quality", "toxic", "a", "b", "at", "n", "text2", "_llm_id", "_llm_gone", "_llm_flags", "_llm_times", "_llm_copy", "_LLM_bin", "contents", "flags", "key", "whole_", "row", "members", "low"]
     return df.withColumns({c: F.lit(1) for c in clash})
 
 

@@ -36,6 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as it takes not to be among taken, in any case of letters."""
+    have, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 class Scratch:
     """Tables written once to the shared folder and read again: they cut lineage, and outlive lost executors."""
 

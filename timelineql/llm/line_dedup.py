@@ -4,31 +4,37 @@ A line is what stands between newlines. Its words are compared, so case and mark
 others a line is removed if an earlier one, by (doc_id, line number), has the same words, or, where both have FUZZY_WORDS or more, differs by
 one inserted, deleted or replaced word.
 
-1. One pass hashes every line, and for each of FUZZY_WORDS or more the first and last halves of its words: two lines of at most L words one edit
-   apart share the first or the last (L - 1) // 2 of them, as the edit cannot lie in both. Lines alone in all their halves have no partner. This only
-   spares work: it turns no pair away.
-2. For the lines that are left, all deletion variants (the line less each one word) are emitted as hashed keys. Lines of an equal variant
-   meet; those that lack the same word position are one replacement apart, and a line that equals another's variant is one insertion apart.
-   So the earliest of each is partner enough, and hot variants cost no more than others.
+1. One pass hashes every line, and marks those that repeat a line of their own text. For each of FUZZY_WORDS or more it hashes the first and last halves
+   of its words: two lines of at most L words one edit apart share the first or the last (L - 1) // 2 of them, as the edit cannot lie in both. Contents
+   alone in all their halves have no partner. This only spares work: it turns no pair away.
+2. For the contents that are left, all deletion variants (the line less each one word) are emitted as hashed keys, from the document that has the content
+   first. Lines of an equal variant meet; those that lack the same word position are one replacement apart, and a line that equals another's variant is one
+   insertion apart. So the earliest of each is partner enough, and hot variants cost no more than others.
 3. Each pair's edit distance is verified on the words themselves.
-4. The lines to remove are gathered by document, and the texts are cut without leaving the JVM.
+4. The lines to remove are gathered by document, and the texts are cut without leaving the JVM, in time in proportion to their lines.
 
-Defined results: null and empty texts stay as they are. Documents of null doc_id are neither changed nor compared. doc_id is a document's identity: rows
-that repeat it are cut alike, and aren't repeats of each other. Long lines are compared whole.
+Copies of a line, lines of a half, and lines of a variant are never gathered in a row, a window or a list: they are counted by partial aggregation and joined
+back, and a join on a hot key is one that adaptive execution can split.
+
+Defined results: null and empty texts stay as they are, and an empty table stays empty. Documents of null doc_id are neither changed nor compared. doc_id is a
+document's identity: rows that repeat it are cut alike, and aren't repeats of each other. Of lines that tie, being equal, the one of the lowest doc_id stays, and in
+a document the first. Lines and texts of any length are compared whole. Other columns, of whatever names, are kept as they are, but for n_chars, which
+the pipeline's stage sets anew.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .bloom import bloom_of
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 MIN_WORDS, FUZZY_WORDS = 3, 8
+HALVES = ["half0", "half1", "half2", "half3"]
 
 
 def lines(data: np.ndarray, offsets: np.ndarray):
@@ -54,6 +60,13 @@ def _halves(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _firsts(row: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Of lines in rows, whether each is the first of its content in its row."""
+    out = np.zeros(len(whole), bool)
+    out[np.unique(whole ^ K.mix(row.astype(np.uint64)), return_index=True)[1]] = True
+    return out
+
+
 def _hashed(batches):
     for batch in batches:
         for r0, data, offsets in K.blocks(batch.column("text")):
@@ -66,58 +79,62 @@ def _hashed(batches):
                 continue
             a, b = at[keep], at[keep + 1]
             sums = K.sequence_sums(h)
-            long = np.flatnonzero(b - a >= FUZZY_WORDS)
-            keys = np.stack(_halves(sums, a[long], b[long]), 1)
-            o = np.zeros(len(keep) + 1, np.int32)
-            o[1:][long] = 4
-            halves = pa.ListArray.from_arrays(pa.array(np.cumsum(o, dtype=np.int32)), pa.array(K.signed(np.ascontiguousarray(keys).ravel())))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[keep])), pa.array(number[keep], pa.int32()), pa.array(K.signed(K.span_hash(sums, a, b))), halves], ["doc_id", "line", "whole", "halves"])
-
-
-def _place(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return K.mix(_document(ids) + number.astype(np.uint64))
+            whole = K.span_hash(sums, a, b)
+            first = _firsts(row[keep], whole)
+            short = ~first | (b - a < FUZZY_WORDS)
+            halves = [pa.array(K.signed(x), mask=short) for x in _halves(sums, a, b)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[keep])), pa.array(number[keep], pa.int32()), pa.array(K.signed(whole)), pa.array(first), *halves], ["doc_id", "line", "whole", "first", *HALVES])
 
 
 def _document(ids: np.ndarray) -> np.ndarray:
     return K.mix(ids.astype(np.int64).view(np.uint64))
 
 
-def _variants(documents, places):
-    """For the first line of each content that may have a partner: its words, and (key, position) of each word left out; the line itself has -1."""
+def _of_documents(documents):
+    """The rows whose documents may be among those of the filter."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            batch = batch.filter(ids.is_valid())
-            hit = documents.value.has(_document(batch.column("doc_id").to_numpy())) if batch.num_rows else np.zeros(0, bool)
-            batch = batch.filter(pa.array(hit))
-            for r0, data, offsets in K.blocks(batch.column("text")):
-                row, number, at, h = lines(data, offsets)
-                own = batch.column("doc_id").slice(r0, len(offsets) - 1).to_numpy()[row]
-                n = np.diff(at)
-                keep = np.flatnonzero((n >= FUZZY_WORDS) & places.value.has(_place(own, number)))
-                if not len(keep):
-                    continue
-                a, b, n = at[keep], at[keep + 1], n[keep]
-                sums = K.sequence_sums(h)
-                begin = np.concatenate([[0], np.cumsum(n)])
-                line = np.repeat(np.arange(len(keep)), n)
-                position = np.arange(begin[-1]) - begin[line]
-                x, y, w = a[line], b[line], a[line] + position
-                key = _joined(sums, x, w, y)
-                self_key = _joined(sums, a, b, None)
-                order = np.insert(np.arange(len(key)), begin[:-1], -1)  # each line's own key before its variants'
-                keys = np.where(order < 0, 0, key[np.maximum(order, 0)])
-                keys[order < 0] = self_key
-                positions = np.where(order < 0, -1, position[np.maximum(order, 0)])
-                o = pa.array((begin + np.arange(len(begin))).astype(np.int32))
-                words = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(K.signed(h[w])))
-                variants = pa.ListArray.from_arrays(o, pa.StructArray.from_arrays([pa.array(K.signed(keys)), pa.array(positions, pa.int32())], ["key", "position"]))
-                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(number[keep], pa.int32()), pa.array(K.signed(K.span_hash(sums, a, b))), words, variants], ["doc_id", "line", "whole", "words", "variants"])
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            if batch.num_rows:
+                yield batch.filter(pa.array(documents.value.has(_document(batch.column("doc_id").to_numpy()))))
 
     return run
 
 
+def _variants(batches):
+    """For the lines of the contents that a row is asked for: their words, and (key, position) of each word left out; the line itself has -1."""
+    for batch in batches:
+        asked = batch.column("contents")
+        begins, flat = asked.offsets.to_numpy(), asked.values.to_numpy().view(np.uint64)
+        for r0, data, offsets in K.blocks(batch.column("text")):
+            row, number, at, h = lines(data, offsets)
+            own = batch.column("doc_id").slice(r0, len(offsets) - 1).to_numpy()[row]
+            n, sums = np.diff(at), K.sequence_sums(h)
+            keep = np.flatnonzero(n >= FUZZY_WORDS)
+            whole = K.span_hash(sums, at[keep], at[keep + 1])
+            mine = slice(begins[r0], begins[r0 + len(offsets) - 1])
+            wanted = flat[mine] ^ K.mix(K.row_of(begins[r0 : r0 + len(offsets)] - begins[r0]).astype(np.uint64))
+            keep = keep[np.isin(whole ^ K.mix(row[keep].astype(np.uint64)), wanted) & _firsts(row[keep], whole)]
+            if not len(keep):
+                continue
+            a, b, n = at[keep], at[keep + 1], n[keep]
+            begin = np.concatenate([[0], np.cumsum(n)])
+            line = np.repeat(np.arange(len(keep)), n)
+            position = np.arange(begin[-1]) - begin[line]
+            x, y, w = a[line], b[line], a[line] + position
+            key = _joined(sums, x, w, y)
+            self_key = _joined(sums, a, b, None)
+            order = np.insert(np.arange(len(key)), begin[:-1], -1)  # each line's own key before its variants'
+            keys = np.where(order < 0, 0, key[np.maximum(order, 0)])
+            keys[order < 0] = self_key
+            positions = np.where(order < 0, -1, position[np.maximum(order, 0)])
+            o = pa.array((begin + np.arange(len(begin))).astype(np.int32))
+            words = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(K.signed(h[w])))
+            variants = pa.ListArray.from_arrays(o, pa.StructArray.from_arrays([pa.array(K.signed(keys)), pa.array(positions, pa.int32())], ["key", "position"]))
+            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(number[keep], pa.int32()), pa.array(K.signed(K.span_hash(sums, a, b))), words, variants], ["doc_id", "line", "whole", "words", "variants"])
+
+
 def _joined(sums: np.ndarray, a: np.ndarray, w: np.ndarray, b: np.ndarray | None) -> np.ndarray:
     """The hash of words a to b without word w; without b, of a to w."""
     power, inverse = K.powers(len(sums))
@@ -127,38 +144,45 @@ def _joined(sums: np.ndarray, a: np.ndarray, w: np.ndarray, b: np.ndarray | None
     return K.mix(front)
 
 
-def within_one(a: list, b: list) -> bool:
+def within_one(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether one inserted, deleted or replaced element at most makes a of b."""
     if abs(len(a) - len(b)) > 1:
         return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+    differ = np.flatnonzero(a[: len(b)] != b[: len(a)])
+    k = int(differ[0]) if len(differ) else min(len(a), len(b))
+    return np.array_equal(a[k + (len(a) >= len(b)) :], b[k + (len(b) >= len(a)) :])
 
 
 def _verified(batches):
     for batch in batches:
-        ok = [within_one(a, b) for a, b in zip(batch.column("words").to_pylist(), batch.column("other_words").to_pylist())]
+        sides = []
+        for c in ("words", "other_words"):
+            o = batch.column(c).offsets.to_numpy()
+            sides.append((o, batch.column(c).values.to_numpy()))
+        (p, a), (q, b) = sides
+        ok = [within_one(a[p[i] : p[i + 1]], b[q[i] : q[i + 1]]) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("whole").filter(pa.array(ok, pa.bool_()))], ["whole"])
 
 
 def near_repeats(spark: SparkSession, docs: DataFrame, hashed: DataFrame, scratch: Scratch) -> DataFrame:
     """(whole) of lines that have an earlier line of other words one edit away."""
-    place = F.struct("doc_id", "line")
-    first = hashed.where("size(halves) > 0").groupBy("whole").agg(F.min(place).alias("at"), F.first("halves").alias("halves"))
-    paired = first.select(F.explode("halves").alias("half"), "whole", "at").groupBy("half").agg(F.collect_list("at").alias("at")).where("size(at) > 1")
-    places = scratch.save(paired.select(F.explode("at").alias("at")).distinct().select("at.*"), "places")
-    documents = bloom_of(spark, places, lambda b: _document(b.column("doc_id").to_numpy()))
-    both = bloom_of(spark, places, lambda b: _place(b.column("doc_id").to_numpy(), b.column("line").to_numpy()))
-    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_variants(documents, both), "doc_id long, line int, whole long, words array<long>, variants array<struct<key:long,position:int>>"), "variants")
-    rows = found.select(F.struct("doc_id", "line", "whole").alias("at"), F.inline("variants")).distinct()
+    each = hashed.where("half0 is not null").select("whole", F.explode(F.array(*HALVES)).alias("half"))
+    shared = each.groupBy("half").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low <> high").select("half")
+    paired = each.join(shared, "half", "left_semi").select("whole").distinct()
+    first = hashed.where("half0 is not null").join(paired, "whole", "left_semi").groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
+    asked = scratch.save(first.groupBy("doc_id").agg(F.collect_list("whole").alias("contents")), "asked")
+    some = docs.select("doc_id", "text").mapInArrow(_of_documents(bloom_of(spark, asked.select("doc_id"), lambda b: _document(b.column("doc_id").to_numpy()))), "doc_id long, text string")
+    found = some.join(asked.hint("shuffle_hash"), "doc_id").mapInArrow(_variants, "doc_id long, line int, whole long, words array<long>, variants array<struct<key:long,position:int>>")
+    found = scratch.save(found, "variants")
+
+    rows = found.select(F.struct("doc_id", "line", "whole").alias("at"), F.inline("variants"))
     own, apart = F.col("position") < 0, F.col("position") >= 0
-
-    met = rows.select(
-        "at", "position", F.min(F.when(own, F.col("at"))).over(Window.partitionBy("key")).alias("shorter"),
-        F.min(F.when(apart, F.col("at"))).over(Window.partitionBy("key")).alias("longer"), F.min("at").over(Window.partitionBy("key", "position")).alias("beside"),
-    )
+    keys = rows.groupBy("key").agg(
+        F.min(F.when(own, F.col("at"))).alias("shorter"), F.min(F.when(apart, F.col("at"))).alias("longer"), F.min("at.whole").alias("low"), F.max("at.whole").alias("high")
+    ).where("low <> high").drop("low", "high")
+    met = scratch.save(rows.join(keys, "key"), "met")
+    beside = met.where(apart).groupBy("key", "position").agg(F.min("at").alias("beside"))
+    met = met.join(beside, ["key", "position"], "left")
     other = F.when(own, F.col("longer")).otherwise(F.least("shorter", "beside"))
     pairs = met.select(F.col("at.whole").alias("whole"), "at", other.alias("other")).where("other < at and other.whole <> whole").select("whole", F.col("other.whole").alias("other")).distinct()
     text = found.groupBy("whole").agg(F.first("words").alias("words"))
@@ -166,41 +190,52 @@ def near_repeats(spark: SparkSession, docs: DataFrame, hashed: DataFrame, scratc
     return texts.select("whole", "words", "other_words").mapInArrow(_verified, "whole long").distinct()
 
 
-def removals(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, numbers of the lines to remove, whether nothing of MIN_WORDS words is left) of documents that lose lines."""
+def _flagged(batches):
+    """For the numbers of lines, whether each line up to the last of them is among them."""
+    for batch in batches:
+        gone = batch.column("gone")
+        o, flat = gone.offsets.to_numpy(), gone.values.to_numpy()
+        n = np.array([flat[a:b].max() + 1 for a, b in zip(o[:-1], o[1:])], np.int64)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        flags = np.zeros(begin[-1], bool)
+        flags[flat[o[0] : o[-1]] + np.repeat(begin[:-1], np.diff(o))] = True
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(o).astype(np.int32)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flags))], ["doc_id", "n_gone", "flags"])
 
+
+def removals(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_gone, flags) of documents that lose lines: how many, and for each line up to the last of those whether it goes."""
     scratch = scratch or Scratch(spark)
-    hashed = scratch.save(docs.select("doc_id", "text").mapInArrow(_hashed, "doc_id long, line int, whole long, halves array<long>").distinct(), "lines")
+    halves = ", ".join(f"{h} long" for h in HALVES)
+    hashed = scratch.save(docs.select("doc_id", "text").mapInArrow(_hashed, f"doc_id long, line int, whole long, first boolean, {halves}"), "lines")
     near = scratch.save(near_repeats(spark, docs, hashed, scratch), "near")
-    scratch.drop("places", "variants")
-    place = F.struct("doc_id", "line")
-    marked = hashed.select("doc_id", "line", "whole", (place > F.min(place).over(Window.partitionBy("whole"))).alias("again")).join(near.withColumn("near", F.lit(True)), "whole", "left")
-    gone = F.col("again") | F.coalesce("near", F.lit(False))
-    return (
-        marked.groupBy("doc_id").agg(F.collect_list(F.when(gone, F.col("line"))).alias("gone"), F.count("*").alias("n"))
-        .where("size(gone) > 0").select("doc_id", F.sort_array("gone").alias("gone"), (F.size("gone") == F.col("n")).alias("nothing"))
-    )
+    scratch.drop("asked", "variants", "met")
+    again = hashed.where("first").groupBy("whole").agg(F.min("doc_id").alias("since"), F.max("doc_id").alias("last")).where("since < last")
+    known = again.select("whole", "since", F.lit(False).alias("near")).union(near.select("whole", F.lit(None).cast("long"), F.lit(True))).groupBy("whole").agg(F.min("since").alias("since"), F.max("near").alias("near"))
+    gone = hashed.where("first").join(known, "whole").where("near or doc_id > since").select("doc_id", "line").union(hashed.where("not first").select("doc_id", "line"))
+    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")).mapInArrow(_flagged, "doc_id long, n_gone int, flags array<boolean>")
 
 
-def cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """All columns of docs, with the text cut; and the columns _llm_gone and _llm_nothing."""
-    gone = gone.select(F.col("doc_id").alias("_llm_id"), F.col("gone").alias("_llm_gone"), F.col("nothing").alias("_llm_nothing")).hint("shuffle_hash")
-    both = docs.join(gone, docs["doc_id"] == F.col("_llm_id"), "left").drop("_llm_id")
-    left = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_llm_gone", i))
-    return both.withColumn("text", F.when(F.col("_llm_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+def cut(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of docs, with the text cut, and how many lines it lost in a last column (null for none); and that column's name."""
+    own, n, flags = fresh(docs.columns, "_llm_id", "_llm_gone", "_llm_flags")
+    both = docs.join(gone.toDF(own, n, flags).hint("shuffle_hash"), docs["doc_id"] == F.col(own), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get(F.col(flags), i), F.lit(False))), "\n")
+    return both.withColumn("text", F.when(F.col(n).isNull(), F.col("text")).otherwise(left)).drop(own, flags), n
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text less the repeated lines, and how many those were."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cut(docs, removals(spark, docs)).select("doc_id", F.coalesce(F.size("_llm_gone"), F.lit(0)).alias("n_removed"), "text")
+    out, n = cut(docs, removals(spark, docs))
+    return out.select("doc_id", F.coalesce(n, F.lit(0)).alias("n_removed"), "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, with texts cut and n_chars set anew; a document that lost lines and has no word left goes, being nothing but repeats."""
-    out = cut(docs, removals(spark, docs)).where(~F.coalesce("_llm_nothing", F.lit(False)) | F.col("text").rlike(_WORD))
+    out, n = cut(docs, removals(spark, docs))
+    out = out.where(F.col(n).isNull() | F.col("text").rlike(_WORD))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_llm_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(n).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
