@@ -3,10 +3,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from timelineql.llm import kernel as K
 from timelineql.llm import near_dedup as N
-from timelineql.llm.common import Scratch
 
 
 def jaccard(a, b):
@@ -53,7 +53,7 @@ def test_components_of_chains_stars_and_cycles(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: r["root"] for r in N.components(spark, spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    got = {r["doc_id"]: r["root"] for r in N.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 
@@ -81,9 +81,32 @@ def test_thousands_of_copies(spark, make):
 
 
 def test_parts_hold_every_pair(spark):
-    df = spark.createDataFrame([(1, list(range(10))), (2, [7, 8])], "bucket long, ids array<long>")
+    df = spark.createDataFrame([(1, i, 10) for i in range(10)] + [(2, i, 2) for i in (7, 8)], "band long, doc_id long, n long")
+    every = {(1, a, b) for a in range(10) for b in range(a + 1, 10)} | {(2, 7, 8)}
+
+    def together(rows):
+        held = {}
+        for r in rows:
+            held.setdefault((r["band"], r["part"]), []).append(r["doc_id"])
+        assert all(len(v) == len(set(v)) for v in held.values())
+        return {(k[0], a, b) for k, v in held.items() for a in v for b in v if a < b}
+
     for part in (1, 2, 3, 10, 50):
-        rows = N.in_parts(df, part).collect()
-        assert {(a, b) for r in rows for a in r["ids"] for b in r["ids"] if a < b} == {(a, b) for a in range(10) for b in range(a + 1, 10)}
-        assert max(len(r["ids"]) for r in rows) <= max(2 * part, 2) or part >= 10
-        assert len({r["bucket"] for r in rows}) == len(rows)
+        own, pairs = N.in_parts(df, part).collect(), N.in_pairs_of_parts(df, part).collect()
+        assert {r["doc_id"] for r in own if r["band"] == 1} == set(range(10))
+        assert together(own) | together(pairs) == every
+
+
+def test_equal_buckets_are_searched_once(spark):
+    rows = [(1, 5), (1, 6), (2, 5), (2, 6), (3, 5), (3, 6), (3, 7), (4, 8)]
+    got = sorted(tuple(r) for r in N.buckets_of(spark.createDataFrame(rows, "band long, doc_id long")).collect())
+    assert got == [(1, 5, 2), (1, 6, 2), (3, 5, 3), (3, 6, 3), (3, 7, 3)]
+
+
+def test_a_bucket_of_two_million_documents_is_in_no_row_or_task(spark):
+    """Ids only: members of a huge bucket stay one to a row, and no part holds much more than PART."""
+    n = 2_000_000
+    members = N.buckets_of(spark.range(n).select(F.lit(1).cast("long").alias("band"), F.col("id").alias("doc_id")))
+    sizes = N.in_parts(members).groupBy("band", "part").count().agg(F.count("*").alias("parts"), F.max("count").alias("most"), F.sum("count").alias("all")).collect()[0]
+    assert sizes["parts"] == n // N.PART and sizes["most"] < 1.1 * N.PART and n <= sizes["all"] < 1.05 * n
+    assert "array" not in members.schema.simpleString() + N.in_pairs_of_parts(members).schema.simpleString()

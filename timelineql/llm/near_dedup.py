@@ -2,15 +2,17 @@
 
 1. One pass hashes all runs of SHINGLE words of a text and keeps, for each of HASHES multiply-add-shift functions (a universal family), the minimum.
 2. Documents of equal signatures collapse to their lowest doc_id, so thousands of exact copies cost one row from here on.
-3. Signatures are cut into BANDS; documents that share a band meet in a bucket. Equal buckets are kept once. No bucket is capped: within one, a search
-   from document to document compares each reached signature with all not yet reached, which finds exactly the components of the bucket's
-   verified pairs, and emits one edge for each document reached. A bucket of more than PART documents is cut into parts of that size, and each two of
-   them are searched together, which leaves out no pair and keeps what one task holds small.
+3. Signatures are cut into BANDS; documents that share a band meet in a bucket, and buckets of the same documents are searched once. No bucket is capped, and
+   none is ever gathered in one row: its members fall by hash into parts of about PART. Within a part, a search from document to document compares each
+   reached signature with all not yet reached, which finds exactly the components of the part's verified pairs, and emits one edge for each document reached.
+   Some PIVOTS of a large bucket are members of all its parts, so copies of one document are joined across parts at once. Large buckets whose
+   members are then not all in one component are searched once more, by each two of their parts, which leaves out no pair.
 4. Edges verified at an estimated Jaccard similarity of THRESHOLD or more go to alternating large-star and small-star rounds, each written
    to the shared folder, until no edge changes: every document then points at the lowest doc_id of its component.
 
 Defined results: a text without words (null, empty or only marks) is in no group. A text of fewer than SHINGLE words is one shingle. doc_id is
-a document's identity: rows that repeat it are one document and are decided together; rows of null doc_id are kept, in no group.
+a document's identity: rows that repeat it are one document and are decided together; rows of null doc_id are kept, in no group. An empty table has no
+groups. Ties don't matter: of a group the lowest doc_id stays. Texts of any length are read whole. Other columns, of whatever names, are kept.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 SHINGLE = 3
 HASHES, BANDS = 128, 32
 THRESHOLD = 0.6
-PART = 10_000
+PART, PIVOTS = 10_000, 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ def _verified(threshold: float, hashes: int):
     return run
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(doc_id, root) for all ends of edges (a, b): alternating large-star and small-star, as min over each vertex' neighbours."""
 
     def state(df: DataFrame):
@@ -142,6 +144,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
             moved = moved.union(low.select("a", F.col("low").alias("b")))
         return moved.where("a <> b").distinct()
 
+    scratch = Scratch(spark)
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
     before, k = state(now), 0
     while before["n"]:
@@ -157,13 +160,30 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     return now.select(F.col("a").alias("doc_id"), F.col("b").alias("root"))
 
 
-def in_parts(buckets: DataFrame, part: int) -> DataFrame:
-    """(bucket, ids) as they are, or for each two parts of a bucket of more than part ids."""
-    n = F.ceil(F.size("ids") / part).cast("int")
-    cut = lambda i: F.slice("ids", i * part + 1, F.lit(part))
-    two = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.concat(cut(i), cut(j)))))
-    each = buckets.select("bucket", F.posexplode(F.when(F.size("ids") <= part, F.array("ids")).otherwise(two)).alias("k", "ids"))
-    return each.select(F.xxhash64("bucket", "k").alias("bucket"), "ids")
+def buckets_of(banded: DataFrame) -> DataFrame:
+    """From (band, doc_id): (band, doc_id, n) of the members of each bucket of n > 1 documents, of those with the same documents only one."""
+    sets = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("n > 1")
+    return banded.join(sets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n"), "band")
+
+
+def _part(part: int):
+    parts = F.ceil(F.col("n") / part).cast("int")
+    return parts, F.pmod(F.xxhash64(F.lit(3), "doc_id"), parts).cast("int")
+
+
+def in_parts(members: DataFrame, part: int = PART) -> DataFrame:
+    """(band, part, doc_id) of members, of which the pivots of a bucket of several parts are in each of them."""
+    parts, own = _part(part)
+    pivot = (parts > 1) & (F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.col("n")) < PIVOTS)
+    return members.select("band", F.explode(F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))).alias("part"), "doc_id")
+
+
+def in_pairs_of_parts(members: DataFrame, part: int = PART) -> DataFrame:
+    """(band, part, doc_id) where each two parts of a bucket are one, numbered by both."""
+    parts, own = _part(part)
+    other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+    each = members.select("band", "doc_id", parts.alias("parts"), own.alias("own"), other).where("own <> other")
+    return each.select("band", (F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other")).alias("part"), "doc_id")
 
 
 def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None, part: int = PART) -> DataFrame:
@@ -173,18 +193,21 @@ def groups(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, s
     low = scratch.save(signed.groupBy("whole").agg(F.min("doc_id").alias("root")), "distinct")
     same = signed.select("doc_id", "whole").join(low, "whole").where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
     first = signed.join(low.select(F.col("root").alias("doc_id"), "whole"), ["doc_id", "whole"])
-    buckets = (
-        first.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-        .where("size(ids) > 1").groupBy("ids").agg(F.min("band").alias("bucket"))
-    )
-    buckets = scratch.save(in_parts(buckets, part), "buckets")
-    members = (
-        buckets.select("bucket", F.explode("ids").alias("doc_id")).join(signed.select("doc_id", "whole", "sig"), "doc_id")
-        .groupBy("bucket").agg(F.sort_array(F.collect_set(F.struct("doc_id", "sig"))).alias("members")).select("members")
-    )
-    edges = members.mapInArrow(_verified(threshold, HASHES), "a long, b long").union(same)
-    found = components(spark, edges, scratch)
-    scratch.drop("signatures", "distinct", "buckets")
+    members = scratch.save(buckets_of(first.select("doc_id", F.explode("bands").alias("band")).distinct()), "buckets")
+
+    def searched(parts: DataFrame) -> DataFrame:
+        found = parts.join(signed.select("doc_id", "whole", "sig"), "doc_id").groupBy("band", "part").agg(F.sort_array(F.collect_set(F.struct("doc_id", "sig"))).alias("members"))
+        return found.select("members").mapInArrow(_verified(threshold, HASHES), "a long, b long")
+
+    edges = scratch.save(searched(in_parts(members, part)).union(same).distinct(), "verified")
+    found = components(spark, edges)
+    large = members.where(F.col("n") > part)
+    if not large.isEmpty():
+        root = found.withColumnRenamed("root", "of")
+        split = large.join(root, "doc_id", "left").groupBy("band").agg(F.min(F.coalesce("of", "doc_id")).alias("low"), F.max(F.coalesce("of", "doc_id")).alias("high")).where("low <> high").select("band")
+        more = searched(in_pairs_of_parts(large.join(split, "band", "left_semi"), part))
+        found = components(spark, scratch.save(more.union(edges).distinct(), "all"))
+    scratch.drop("signatures", "distinct", "buckets", "verified", "all")
     return found
 
 
@@ -197,5 +220,6 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the near copies; of each group the lowest doc_id stays."""
-    found = groups(spark, docs).select(F.col("doc_id").alias("_llm_copy"))
-    return docs.join(found, docs["doc_id"] == F.col("_llm_copy"), "left_anti")
+    copy, = fresh(docs.columns, "_llm_copy")
+    found = groups(spark, docs).select(F.col("doc_id").alias(copy))
+    return docs.join(found, docs["doc_id"] == F.col(copy), "left_anti")
