@@ -10,7 +10,9 @@
 
 Defined results: null is a source of its own, like the empty name. doc_id is a document's identity: rows that repeat it are one document, scheduled
 together, of the least source; null is an id too. Documents without
-tokens aren't scheduled; a source that has no others has no weight.
+tokens (null, empty and blank texts) aren't scheduled; a source that has no others has no weight. An empty table has an empty schedule. Texts of any length
+are counted whole, and a document longer than a block is a block's whole content or more. Remainders of the budget that tie go to the source that sorts
+first, and blocks and documents whose hashes tie are ordered by themselves. Other columns, of whatever names, are kept by the pipeline's stage.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 TARGET, REPEATS = 0.95, 4.0
 BLOCK_TOKENS = 1 << 21
@@ -99,6 +101,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, each as often as it is scheduled."""
-    times = schedule(spark, docs).groupBy("doc_id").agg(F.count("*").cast("int").alias("_llm_times")).withColumnRenamed("doc_id", "_llm_id").hint("shuffle_hash")
-    out = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_llm_id"))).withColumn("_llm_times", F.explode(F.sequence(F.lit(1), F.col("_llm_times"))))
+    own, times = fresh(docs.columns, "_llm_id", "_llm_times")
+    often = schedule(spark, docs).groupBy("doc_id").agg(F.count("*").cast("int")).toDF(own, times).hint("shuffle_hash")
+    out = docs.join(often, docs["doc_id"].eqNullSafe(F.col(own))).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return out.select(*docs.columns)
