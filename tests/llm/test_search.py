@@ -52,6 +52,8 @@ def test_blocks_are_skipped_and_nothing_is_lost():
     score = np.concatenate([rng.random(n // 2), 5 + rng.random(40)])
     shard = R.Shard(word, doc, score, 2)
     docs, scores, read = shard.top(np.array([0, 1]), np.array([1, 1]), 10)
+    seeded = shard.top(np.array([0, 1]), np.array([1, 1]), 10, float(np.sort(scores)[-10]))
+    assert seeded[2] <= read and sorted(seeded[0].tolist()) == sorted(docs.tolist())
     total = np.bincount(doc, weights=score, minlength=n)
     assert read < len(word) / 10 and np.sort(scores)[::-1][:10].tolist() == np.sort(np.round(total, 6))[::-1][:10].tolist()
     assert set(np.argsort(-np.round(total, 6), kind="stable")[:10]) <= set(docs.tolist())
@@ -63,3 +65,36 @@ def test_odd_rows(spark, odd, none):
     assert got == [(1, 1, 7), (1, 2, 7), (1, 3, 8), (2, 1, 4)]
     assert R.searched(spark, none, queries).count() == 0
     assert R.searched(spark, odd, queries.where("false")).count() == 0
+
+
+def test_cursors_find_what_a_full_scan_finds():
+    """Random lists of all lengths, with and without a seeded threshold, and fewer documents than k."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, words, k = int(rng.integers(1, 2000)), int(rng.integers(1, 8)), int(rng.integers(1, 12))
+        lists = [np.sort(rng.choice(n, int(rng.integers(0, n + 1)), replace=False)) for _ in range(words)]
+        word, doc = np.repeat(np.arange(words), [len(x) for x in lists]), np.concatenate(lists)
+        score = np.round(rng.random(len(doc)) * rng.choice([0.1, 1, 5], words)[word], 1) + 0.1
+        asked = np.flatnonzero(rng.random(words) < 0.7)
+        times = rng.integers(1, 3, len(asked))
+        total = np.zeros(n)
+        for w, t in zip(asked, times):
+            np.add.at(total, doc[word == w], score[word == w] * t)
+        total = np.round(total, 6)
+        order = np.lexsort((np.arange(n), -total))[:k]
+        want = [(total[i], i) for i in order if total[i] > 0]
+        for least in (-np.inf, want[-1][0] if len(want) == k else -np.inf):
+            docs, scores, _ = R.Shard(word, doc, score, words).top(asked, times, k, least)
+            got = [(s, i) for s, i in sorted(zip(scores.tolist(), docs.tolist()), key=lambda x: (-x[0], x[1]))][:k]
+            assert got == want
+
+
+def test_seeds_over_many_shards(spark, make, monkeypatch):
+    """With many small shards the seeded thresholds lose nothing; equal scores across shards rank by doc_id."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(30))) for i in range(400)] + [(1000 + i, "w1 w2 w3") for i in range(30)]
+    queries = [(q, " ".join(f"w{rng.randrange(40)}" for _ in range(6))) for q in range(20)]
+    got = {}
+    for r in R.searched(spark, make(docs).repartition(12), spark.createDataFrame(queries, "item_id long, text string"), 5).collect():
+        got.setdefault(r["item_id"], []).append((-r["score"], r["doc_id"]))
+    assert {q: sorted(v) for q, v in got.items()} == {q: s for q, s in brute(docs, queries, 5).items() if s}
