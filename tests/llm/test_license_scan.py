@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 
 from timelineql.llm import kernel as K
 from timelineql.llm import license_scan as L
-from timelineql.llm.license_texts import TEMPLATES
+from timelineql.llm.license_texts import TEMPLATES, full_texts
 
 
 def matches(df):
@@ -66,7 +67,7 @@ def test_odd_rows(spark, odd, none, make):
     assert [r["doc_id"] for r in L.scanned(make([(1, twice), (2, twice), (2, twice), (3, "All rights reserved")])).orderBy("doc_id").collect()] == [1, 1, 2, 2, 2, 2, 3]
     long = "word " * 200_000 + "Released under the MIT License."
     assert [r["license"] for r in L.scanned(make([(1, long)])).collect()] == ["MIT"]
-    index = L.Index(TEMPLATES)
+    index = L.indexes_of(TEMPLATES)
     (_, data, offsets), = K.blocks(pa.array(["a"]))
     h, _, _, o = K.words(data, offsets)
     assert L.scan(index, h, o) == []
@@ -90,9 +91,76 @@ def test_long_insertions_are_bridged():
     t = TEMPLATES[0][1].split()
     for k in (40, 80, 120):
         t[k:k] = [f"in{k}x{i}" for i in range(15)]
-    index = L.Index(TEMPLATES)
+    index = L.indexes_of(TEMPLATES)
     for copies in (1, 3):
         (_, data, offsets), = K.blocks(pa.array([" ".join([TEMPLATES[0][1], *t] * copies)]))
         h, _, _, o = K.words(data, offsets)
         found = [m for m in L.scan(index, h, o) if m[1] == 0]
-        assert len(found) == 2 * copies and all(m[2] >= 0.95 * len(index.words[0]) for m in found)
+        assert len(found) == 2 * copies and all(m[2] >= 0.95 * len(index[0].words[0]) for m in found)
+
+
+def brute(templates, words):
+    """All places where a template's words stand, with up to COVERAGE of them changed one for one, without candidates: each start is tried."""
+    found = []
+    for t, a in enumerate(templates):
+        for x in range(len(words) - len(a) + 1):
+            same = sum(p == q for p, q in zip(a, words[x : x + len(a)]))
+            if same >= L.COVERAGE * len(a):
+                found.append((t, same, x, x + len(a)))
+    found.sort(key=lambda m: (-m[1], -m[1] / len(templates[m[0]]), m[0], m[2]))
+    kept = []
+    for m in found:
+        if not any(m[2] < k[3] and k[2] < m[3] for k in kept):
+            kept.append(m)
+    return sorted(kept, key=lambda m: m[2])
+
+
+def test_whole_scan_against_brute_force():
+    """Templates of several lengths, amid noise and amid parts of themselves, with words replaced: which are found, where, and with what coverage."""
+    rng = random.Random(11)
+    word = lambda: "w" + str(rng.randrange(10_000))
+    templates = [[word() for _ in range(n)] for n in (3, 6, 12, 40)]
+    indexes = L.indexes_of([("t", " ".join(t)) for t in templates])
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(0, 8)):
+            words += [word() for _ in range(rng.randint(0, 12))]
+            t = list(rng.choice(templates))
+            for k in rng.sample(range(1, len(t) - 1), min(len(t) // 8, max(0, len(t) - 2))):
+                t[k] = word()
+            words += t if rng.random() < 0.8 else t[: len(t) // 3]
+        (_, data, offsets), = K.blocks(pa.array([" ".join(words)], pa.large_string())) if words else [(0, np.zeros(0, np.uint8), np.zeros(2, np.int64))]
+        h, _, _, o = K.words(data, offsets)
+        got = sorted(((t, m, x, y) for _, t, m, x, y in L.scan(indexes, h, o)), key=lambda m: m[2])
+        want = brute(templates, words)
+        assert [(m[0], m[1]) for m in got] == [(m[0], m[1]) for m in want], words
+        assert all(abs(g[2] - w[2]) <= 1 and abs(g[3] - w[3]) <= 1 for g, w in zip(got, want))
+
+
+def test_many_licenses_take_time_in_proportion():
+    """100,000 notices, and 400 texts one after the other, each reported."""
+    indexes = L.indexes_of(TEMPLATES)
+    for t, times in (("All rights reserved.", 100_000), ("Licensed under the MIT License. ", 30_000), (TEMPLATES[0][1], 400)):
+        (_, data, offsets), = K.blocks(pa.array([" ".join([t] * times)], pa.large_string()))
+        h, _, _, o = K.words(data, offsets)
+        began = time.process_time()
+        found = L.scan(indexes, h, o)
+        assert len(found) == times and time.process_time() - began < 60, (t, len(found), time.process_time() - began)
+
+
+def test_whole_license_texts(spark, make):
+    """Bodies without their heads or appendices, and changed ones; the GPL and the AGPL, which share most of their words, are told apart."""
+    texts = dict(full_texts())
+    rng = random.Random(5)
+    rows, want = [], []
+    for k, (name, t) in enumerate(sorted(texts.items())):
+        words = t.split(" ")
+        cut = words[len(words) // 30 : -len(words) // 15]
+        rows += [(3 * k, t), (3 * k + 1, "some words before " + " ".join(cut) + " and after"), (3 * k + 2, " ".join(w if rng.random() > 0.03 else "zz" for w in words))]
+        want += [name] * 3
+    best = {}
+    for r in L.scanned(make(rows)).collect():
+        if r["n_words"] > best.get(r["doc_id"], ("", 0, 0))[1]:
+            best[r["doc_id"]] = r["license"], r["n_words"], r["coverage"]
+    assert [best[i][0] for i in range(len(rows))] == want
+    assert all(best[i][2] == 1 if i % 3 == 0 else best[i][2] > 0.85 for i in best)

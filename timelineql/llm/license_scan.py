@@ -1,21 +1,26 @@
 """License scans: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment reports coverage and spans.
 
-1. Hashes of all runs of GRAM words are winnowed with windows of WINDOW: the least of each window is a fingerprint, the rightmost of equal ones. Any shared run
-   of GRAM + WINDOW - 1 words shares a fingerprint. The templates' fingerprints make an inverted index of (template, place), which is fixed and small and
-   goes along with the tasks.
-2. A document's fingerprints are looked up as they are made. Each hit says where its template would start; hits of a template whose starts are within a
-   band of each other form a candidate, if they hold at least MIN_HITS of the template's fingerprints.
+1. Hashes of all runs of GRAM words of a template are winnowed with windows of WINDOW: the least of each window is a fingerprint, the rightmost of equal ones.
+   Templates of more than LONG words have runs and windows of LONG_GRAM and LONG_WINDOW. The templates' fingerprints make two inverted indexes of
+   (template, place), which are fixed and small and go along with the tasks.
+2. A document's runs are looked up as they are made; for the short templates they are winnowed alike, so that any shared run of GRAM + WINDOW - 1 words shares
+   a fingerprint. Each hit says where its template would start; hits of a template whose starts are within a band of each other form a candidate, if they
+   hold at least MIN_HITS of the template's fingerprints.
 3. At the peaks of a candidate's hits by start, in turn, the template is aligned inside the band (match 1, mismatch and gap less), and reported if matching
    words are at least COVERAGE of the template's. Of overlapping reports the one with more matching words stays, then the better covered, then the earlier template.
+   All this is done on neighbouring hits, so that the work stays in proportion to the text, whatever number of licenses it holds.
 
 One pass over the documents without a shuffle. A row per match: start and end are places in characters, end exclusive.
 
-Defined results: null and empty texts have no matches, and documents without a match have no rows. Repeated rows are scanned each; doc_id may be null. Texts
-are scanned whole; a license that occurs more than once is reported each time.
+Defined results: null and empty texts have no matches, and documents without a match have no rows; an empty table gives none. Repeated rows are scanned each;
+doc_id may be null. Texts are scanned whole; a license that occurs more than once is reported each time. Other columns, of whatever names, aren't read.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +31,7 @@ from .license_texts import TEMPLATES
 from .toxicity import Vocabulary
 
 GRAM, WINDOW = 2, 2
+LONG, LONG_GRAM, LONG_WINDOW = 400, 5, 8
 MIN_HITS, COVERAGE = 0.3, 0.8
 GAP, MISMATCH = 0.6, 0.6
 
@@ -48,17 +54,38 @@ def fingerprints(h: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[chosen], at[chosen]
 
 
+def grams(h: np.ndarray, o: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of size words in rows at offsets o, and the index of their first word."""
+    runs = np.maximum(np.diff(o) - size + 1, 0)
+    start = np.concatenate([[0], np.cumsum(runs)])
+    at = np.arange(start[-1]) + np.repeat(o[:-1] - start[:-1], runs)
+    return K.span_hash(K.sequence_sums(h), at, at + size), at
+
+
+def winnowed(g: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes in a row, those that are the least of a window, the rightmost of equal ones."""
+    if len(g) <= window:
+        chosen = np.array([len(g) - 1 - int(np.argmin(g[::-1]))], np.int64) if len(g) else np.zeros(0, np.int64)
+    else:
+        views = np.lib.stride_tricks.sliding_window_view(g, window)
+        chosen = np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], 1))
+    return g[chosen], at[chosen]
+
+
 class Index:
-    """The templates' words, and the inverted index of their fingerprints."""
+    """The templates' words, and the inverted index of the fingerprints of those that are long or not."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
+    def __init__(self, templates: list[tuple[str, str]], long: bool = False):
+        self.long = long
         column = pa.array([t for _, t in templates], pa.large_string())
         self.words, marks, places = [], [], []
         for _, data, offsets in K.blocks(column, limit=1 << 40):
             h, _, _, o = K.words(data, offsets)
             self.words = [h[a:b] for a, b in zip(o[:-1], o[1:])]
             for t, w in enumerate(self.words):
-                g, at = fingerprints(w, np.array([0, len(w)]))
+                mine = w if (len(w) > LONG) == long else w[:0]
+                own = np.array([0, len(mine)])
+                g, at = winnowed(*grams(mine, own, LONG_GRAM), LONG_WINDOW) if long else fingerprints(mine, own)
                 marks.append(g)
                 places += [(t, int(p)) for p in at]
         g = np.concatenate(marks) if marks else np.zeros(0, np.uint64)
@@ -103,50 +130,67 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int
 
 
 def _within(b: np.ndarray, base: int, a: np.ndarray, start: np.ndarray, place: np.ndarray, band: int, least: int) -> list[tuple[int, int, int]]:
-    """Matches (matching words, first word, last word + 1) of a in a candidate: at the peaks of its hits by diagonal in turn, until no stretch of a band has enough of them."""
-    out, left = [], np.ones(len(start), bool)
-    while left.any():
-        s, p = start[left], place[left]  # sorted by start
-        upto = np.searchsorted(s, s + band, "right")
-        low = int(np.argmax(upto - np.arange(len(s))))
-        high = int(upto[low])
-        if high - low < least:
-            break
-        middle = int(np.median(s[low:high]))
+    """Matches (matching words, first word, last word + 1) of a in a candidate, whose hits are sorted by start: at the peaks of its hits by diagonal in turn, the
+    highest first, until no stretch of a band has enough of them."""
+    x = int(start[len(start) // 2])
+    if base <= x and x + len(a) <= base + len(b) and np.array_equal(b[x - base : x - base + len(a)], a) and (word := start + place).min() >= x and word.max() < x + len(a):
+        return [(len(a), x, x + len(a))]  # a copy word for word, and nothing beside it
+    out: list[tuple[int, int]] = []  # spans of matches, which are disjoint, in order
+    scores = []
+    left, word = np.ones(len(start), bool), start + place
+    upto = np.searchsorted(start, start + band, "right")
+    count = upto - np.arange(len(start))
+    peaks = [(-int(count[i]), int(i)) for i in np.flatnonzero(count >= least)]
+    heapq.heapify(peaks)
+    while peaks:
+        high, low = heapq.heappop(peaks)
+        if not left[low]:
+            continue
+        mine = low + np.flatnonzero(left[low : upto[low]])
+        if len(mine) < -high:  # some of its hits have gone since: it waits for its turn
+            if len(mine) >= least:
+                heapq.heappush(peaks, (-len(mine), low))
+            continue
+        middle = int(np.median(start[mine]))
         begin, end = max(0, middle - base - band), min(len(b), middle - base + len(a) + band)
-        for _, x, y in out:  # what is matched isn't aligned again
-            if x - base <= middle - base + len(a) // 2:
-                begin = max(begin, y - base)
-            else:
-                end = min(end, x - base)
-        enough = begin < end and len(np.unique(p[low:high])) >= least
+        k = bisect_right(out, (middle + len(a) // 2, 1 << 62))  # what is matched isn't aligned again
+        if k:
+            begin = max(begin, out[k - 1][1] - base)
+        if k < len(out):
+            end = min(end, out[k][0] - base)
+        enough = begin < end and len(np.unique(place[mine])) >= least
         matched, x, y = align(a, b[begin:end], middle - base - begin, band) if enough else (0, 0, 0)
-        word = start + place
         if matched >= COVERAGE * len(a):
             x, y = base + begin + x, base + begin + y
-            out.append((matched, x, y))
-            left &= (word < x) | (word >= y)
-        left[np.flatnonzero((start >= s[low]) & (start <= s[high - 1]))] = False
-    ends = sorted((x, y) for _, x, y in out)
-    rest = list(zip([base, *(y for _, y in ends)], [*(x for x, _ in ends), base + len(b)]))
+            insort(out, (x, y))
+            scores.append((matched, x, y))
+            near = slice(*np.searchsorted(start, [x - len(a), y]))  # where the hits inside can start
+            left[near] &= (word[near] < x) | (word[near] >= y)
+        left[low : np.searchsorted(start, start[mine[-1]], "right")] = False
+    order = np.argsort(word, kind="stable")
+    rest = list(zip([base, *(y for _, y in out)], [*(x for x, _ in out), base + len(b)]))
     while rest:  # texts with long insertions, whose hits drift by more than a band, are in what the peaks leave
         begin, end = rest.pop()
-        mine = (start + place >= begin) & (start + place < end)
-        if len(np.unique(place[mine])) < least:
+        mine = np.sort(order[slice(*np.searchsorted(word, [begin, end], sorter=order))])
+        if len(mine) < least or len(np.unique(place[mine])) < least:
             continue
-        low, high = int(start[mine][0]), int(start[mine][-1])
+        begin, end = max(begin, int(word[mine].min()) - len(a)), min(end, int(word[mine].max()) + 1 + len(a))
+        if end - begin > 4 * len(a):  # a text of more insertions than words isn't one: each shorter one is whole in one of these
+            rest += [(x, min(end, x + 4 * len(a))) for x in range(begin, end - 2 * len(a), 2 * len(a))]
+            continue
+        low, high = int(start[mine[0]]), int(start[mine[-1]])
         middle, wide = (low + high) // 2, band + (high - low + 1) // 2
         first = max(begin, middle - wide)
         matched, x, y = align(a, b[first - base : min(end, middle + len(a) + wide) - base], middle - first, wide) if first < end else (0, 0, 0)
         if matched >= COVERAGE * len(a):
-            out.append((matched, first + x, first + y))
+            scores.append((matched, first + x, first + y))
             rest += [(begin, first + x), (first + y, end)]
-    return out
+    return scores
 
 
-def scan(index: Index, h: np.ndarray, o: np.ndarray):
-    """Matches (row, template, matching words, first word, last word + 1) in rows of word hashes."""
-    g, at = fingerprints(h, o)
+def candidates(index: Index, h: np.ndarray, o: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Matches (row, template, matching words, first word, last word + 1) in rows of word hashes, with overlaps."""
+    g, at = grams(h, o, LONG_GRAM) if index.long else fingerprints(h, o)
     hit, mark = index.vocabulary.find(g)
     if not len(hit):
         return []
@@ -168,31 +212,44 @@ def scan(index: Index, h: np.ndarray, o: np.ndarray):
         t, r = int(template[first[k]]), int(row[first[k]])
         a, mine = index.words[t], slice(first[k], first[k + 1])
         found += [(r, t, *m) for m in _within(h[o[r] : o[r + 1]], int(o[r]), a, start[mine], place[mine], index.band[t], max(1, int(np.ceil(MIN_HITS * index.prints[t]))))]
-    found.sort(key=lambda m: (m[0], -m[2], -m[2] / len(index.words[m[1]]), m[1], m[3]))
+    return found
+
+
+def scan(indexes: list[Index], h: np.ndarray, o: np.ndarray):
+    """The matches of all indexes without overlaps, best first in each row."""
+    words = indexes[0].words
+    found = [m for index in indexes for m in candidates(index, h, o)]
+    found.sort(key=lambda m: (m[0], -m[2], -m[2] / len(words[m[1]]), m[1], m[3]))
     kept, here = [], {}
     for m in found:
-        if not any(m[3] < k[4] and k[3] < m[4] for k in here.setdefault(m[0], [])):
-            here[m[0]].append(m)
+        spans = here.setdefault(m[0], [])  # disjoint, in order
+        k = bisect_right(spans, (m[3], 1 << 62))
+        if not (k and spans[k - 1][1] > m[3] or k < len(spans) and spans[k][0] < m[4]):
+            spans.insert(k, (m[3], m[4]))
             kept.append(m)
     return kept
 
 
+def indexes_of(templates: list[tuple[str, str]]) -> list[Index]:
+    return [Index(templates), Index(templates, long=True)]
+
+
 def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, license, template, coverage, n_words, start, end) of every match."""
 
     def run(batches):
-        index = Index(templates)
+        indexes = indexes_of(templates)
         names = [n for n, _ in templates]
         for batch in batches:
             for a, data, offsets in K.blocks(batch.column("text")):
                 h, s, e, o = K.words(data, offsets)
-                found = scan(index, h, o)
+                found = scan(indexes, h, o)
                 if not found:
                     continue
                 row, t, matched, x, y = (np.array(c, np.int64) for c in zip(*found))
                 character = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 begin = character[offsets[row]]
-                coverage = np.round(matched / np.array([len(w) for w in index.words])[t], 6)
+                coverage = np.round(matched / np.array([len(w) for w in indexes[0].words])[t], 6)
                 columns = [pa.array([names[i] for i in t]), pa.array(t), pa.array(coverage), pa.array(matched), pa.array(character[s[x]] - begin), pa.array(character[e[y - 1]] - begin)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(offsets) - 1).take(pa.array(row)), *columns], ["doc_id", "license", "template", "coverage", "n_words", "start", "end"])
 

@@ -1,4 +1,10 @@
-"""Templates of license notices, from the public texts of the licenses. Names and years of holders are left out."""
+"""Templates of licenses and license notices, from the public texts of the licenses. Names and years of holders are left out. Whole texts lie in ``licenses``."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+HOME = Path(__file__).parent / "licenses"
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
 MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
@@ -57,4 +63,53 @@ distribute this software, either in source code form or as a compiled binary, fo
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("proprietary", "All rights reserved."),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions
+that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 ]
+#: What sets the AGPL apart from the GPL of the same version: its preamble and its section 13.
+_AGPL_PREAMBLE = """The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation
+with the community in the case of network server software. The licenses for most software and other practical works are designed to take away your freedom to share
+and change the works. By contrast, our General Public Licenses are intended to guarantee your freedom to share and change all versions of a program--to make sure it
+remains free software for all its users. When we speak of free software, we are referring to freedom, not price. Our General Public Licenses are designed to make sure
+that you have the freedom to distribute copies of free software (and charge for them if you wish), that you receive source code or can get it if you want it, that you
+can change the software or use pieces of it in new free programs, and that you know you can do these things. Developers that use our General Public Licenses protect
+your rights with two steps: (1) assert copyright on the software, and (2) offer you this License which gives you legal permission to copy, distribute and/or modify the
+software. A secondary benefit of defending all users' freedom is that improvements made in alternate versions of the program, if they receive widespread use, become
+available for other developers to incorporate. Many developers of free software are heartened and encouraged by the resulting cooperation. However, in the case of
+software used on network servers, this result may fail to come about. The GNU General Public License permits making a modified version and letting the public access it
+on a server without ever releasing its source code to the public. The GNU Affero General Public License is designed specifically to ensure that, in such cases, the
+modified source code becomes available to the community. It requires the operator of a network server to provide the source code of the modified version running there
+to the users of that server. Therefore, public use of a modified version, on a publicly accessible server, gives the public access to the source code of the modified
+version. """
+_AGPL_13 = """13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your
+modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to
+receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary
+means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public
+License that is incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine any covered
+work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. The terms of this License will
+continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License. """
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license, whole text), with runs of space as one; the AGPL's is made of the GPL's."""
+    texts = {p.stem: " ".join(p.read_text().split()) for p in sorted(HOME.glob("*.txt"))}
+    gpl = texts["GPL-3.0"]
+    begin, terms = gpl.index("The GNU General Public License is a free"), gpl.index("The precise terms and conditions")
+    at, after = gpl.index("13. Use with the GNU Affero"), gpl.index("14. Revised Versions")
+    rest = (gpl[terms:at] + _AGPL_13 + gpl[after:]).replace("GNU General Public License from time to time", "GNU Affero General Public License from time to time")
+    texts["AGPL-3.0"] = gpl[:begin].replace("GNU GENERAL", "GNU AFFERO GENERAL") + _AGPL_PREAMBLE + rest
+    return sorted(texts.items())
+
+
+TEMPLATES += full_texts()
