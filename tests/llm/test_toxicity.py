@@ -1,8 +1,10 @@
+import math
 import random
 
 import numpy as np
 import pytest
 
+from timelineql.llm import kernel as K
 from timelineql.llm import toxicity as X
 
 BAD = ["vile", "scum", "idiot", "moron", "trash"]
@@ -39,15 +41,11 @@ def test_induces_words_that_labels_do_not_show(spark, corpus):
     hidden = docs.withColumn("text", F.when((F.col("doc_id") % 6 == 0) & (F.col("doc_id") % 4 != 0), F.concat("text", F.lit(" zounds"))).otherwise(F.col("text")))
     few = labels.where("toxic = 0 or doc_id % 4 = 0")
     hashes, weights, _ = X.induce(spark, hidden, few)
-    from timelineql.llm import kernel as K
-
     assert K.word_hash("zounds") in hashes.tolist() and K.word_hash("w1") not in hashes.tolist()
     assert (weights > 0).all()
 
 
 def test_scores_match_brute_force(spark, corpus):
-    from timelineql.llm import kernel as K
-
     docs, _ = corpus
     words = ["w1", "river", "scum"]
     h = np.array([K.word_hash(w) for w in words], np.uint64)
@@ -69,8 +67,108 @@ def test_odd_rows(spark, odd, none, corpus):
     assert X.score(corpus[0], *X.induce(spark, corpus[0], empty)).where("is_toxic").count() == 0
 
 
+def brute(texts, toxic_of):
+    """The lexicon and threshold by dense matrices and loops over words; texts of whole words, of which no two are near copies."""
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    vocabulary = sorted(set().union(*sets.values()))
+    bad, good = [i for i, t in toxic_of.items() if t], [i for i, t in toxic_of.items() if not t]
+    n1 = {w: sum(w in sets[i] for i in bad) for w in vocabulary}
+    n0 = {w: sum(w in sets[i] for i in good) for w in vocabulary}
+    t1, t0 = len(bad), len(good)
+    testable = sum(n1[w] >= X.SEED_DOCS for w in vocabulary)
+
+    def g(w):
+        table = [(n1[w], n0[w]), (t1 - n1[w], t0 - n0[w])]
+        return 2 * sum(o * math.log(o / (sum(row) * t / (t1 + t0))) for row in table for o, t in zip(row, (t1, t0)) if o)
+
+    ratio = {w: (n1[w] + 0.5) / (t1 + 1) / ((n0[w] + 0.5) / (t0 + 1)) for w in vocabulary}
+    seeds = {w for w in vocabulary if n1[w] >= X.SEED_DOCS and ratio[w] >= X.SEED_RATIO and g(w) >= 2 * math.log(testable)}
+    calm = [w for w in vocabulary if ratio[w] <= 1 and X.NEUTRAL_SHARES[0] * t0 <= n0[w] <= X.NEUTRAL_SHARES[1] * t0]
+    calm = set(sorted(calm, key=lambda w: (-n0[w], np.uint64(K.word_hash(w)).view(np.int64)))[: X.NEUTRAL])
+    df = {w: sum(w in s for s in sets.values()) for w in vocabulary}
+    beside = {w: sum(w in s and bool(s & seeds) for s in sets.values()) for w in vocabulary}
+
+    def wilson(k, n, z=X.CONFIDENCE):
+        p = k / n
+        return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    nodes = [w for w in vocabulary if w in seeds or w in calm or wilson(beside[w], df[w]) >= X.BESIDE]
+    m = np.array([[w in s for w in nodes] for s in sets.values()], float)
+    c = m.T @ m
+    e = np.outer(np.diag(c), np.diag(c)) / len(sets)
+    with np.errstate(divide="ignore"):
+        p = np.where((c > e) & (c >= 3) & (c >= e + 3 * np.sqrt(e)), np.log(c / e), 0)
+    np.fill_diagonal(p, 0)
+    near = np.array([[x > 0 and (row > x).sum() < X.NEIGHBOURS for x in row] for row in p])
+    p = p * (near & near.T)
+    size = np.sqrt(p.sum(1))
+    step = np.divide(p, np.outer(size, size), out=np.zeros_like(p), where=np.outer(size, size) > 0)
+    masses = []
+    for start in (seeds, calm):
+        s = np.array([w in start for w in nodes], float)
+        s /= max(1, s.sum())
+        x = s
+        for _ in range(X.ROUNDS):
+            x = (1 - X.RESTART) * (step.T @ x) + X.RESTART * s
+        masses.append(x)
+    x, y = masses
+    polarity = np.divide(x - y, x + y, out=np.zeros_like(x), where=x + y > 0)
+    lexicon = {w: round(v, 9) for w, v in zip(nodes, polarity) if round(v, 9) >= X.STRONG}
+    score = {i: round(sum(v for w, v in lexicon.items() if w in sets[i]), 6) for i in toxic_of}
+    best, at = -1.0, math.inf
+    values = sorted(set(score.values()))
+    for low, high in zip([0.0, *values], values):
+        if high > 0:
+            hit = {i for i in score if score[i] >= high}
+            f1 = 2 * len(hit & set(bad)) / (len(hit) + len(bad))
+            if f1 >= best:
+                best, at = f1, (max(low, 0.0) + high) / 2
+    return lexicon, at
+
+
+def test_induction_against_brute_force(spark, make):
+    """Seeds, document frequencies, co-occurrence, PPMI, neighbours, walks and threshold, from texts on; also with the walks by joins."""
+    rng = random.Random(12)
+    texts, toxic_of = {}, {}
+    topic = [[f"t{k}x{i}" for i in range(12)] for k in range(6)]
+    for i in range(700):
+        toxic = i % 5 == 0
+        words = [f"w{int(rng.paretovariate(0.8)) % 900}" for _ in range(30)] + rng.sample(topic[i % 6], 3)
+        words += rng.sample([*BAD, "zounds", "oaf"], 3) if toxic else rng.sample(BAD, 1) * (rng.random() < 0.03)
+        rng.shuffle(words)
+        texts[i] = " ".join(words)
+        if i % 2 == 0:
+            toxic_of[i] = int(toxic)
+    docs = make(list(texts.items()))
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic_of.items()], "doc_id long, quality int, toxic int")
+    lexicon, threshold = brute(texts, toxic_of)
+    assert len(lexicon) >= 5
+    for limit in (X.DRIVER_EDGES, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(X, "DRIVER_EDGES", limit)
+            if not limit:
+                m.setattr(X, "ROUNDS", 5)
+                lexicon, threshold = brute(texts, toxic_of)
+            hashes, weights, at = X.induce(spark, docs, labels)
+        got = dict(zip(hashes.tolist(), weights.tolist()))
+        assert set(got) == {K.word_hash(w) for w in lexicon}
+        assert all(got[K.word_hash(w)] == pytest.approx(v, abs=1e-8) for w, v in lexicon.items()) and at == pytest.approx(threshold, abs=1e-5)
+
+
 def test_walk_separates_two_cliques():
-    c = np.array([[20, 15, 15, 1, 1, 1]] * 3 + [[1, 1, 1, 20, 15, 15]] * 3, float)
-    c[:, :] = np.where(np.eye(6, dtype=bool), 20, c)
-    p = X.walk(c, 100, np.array([1, 0, 0, 0, 0, 0], bool), np.array([0, 0, 0, 1, 0, 0], bool))
+    a, b = np.array([0, 0, 1, 3, 3, 4, 2]), np.array([1, 2, 2, 4, 5, 5, 3])
+    p = X.walk(a, b, np.array([1.0] * 6 + [0.01]), np.array([1, 0, 0, 0, 0, 0], bool), np.array([0, 0, 0, 1, 0, 0], bool))
     assert (p[:3] > 0.9).all() and (p[3:] < -0.9).all()
+
+
+def test_thresholds_of_a_full_search():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        scores, bad = rng.integers(0, 6, 30) / 2, rng.random(30) < 0.3
+        best, at = -1.0, np.inf
+        for high in np.unique(scores):
+            low = scores[scores < high].max(initial=0.0)
+            f1 = 2 * ((scores >= high) & bad).sum() / max(1, (scores >= high).sum() + bad.sum())
+            if high > 0 and bad.any() and f1 >= best:
+                best, at = f1, (low + high) / 2
+        assert X.best_threshold(scores, bad) == at

@@ -1,36 +1,40 @@
 """Toxicity by lexicon induction: labelled seed terms, a positive-PMI word graph, random walks, and a polarity lexicon.
 
-1. A bounded sample of labelled documents (``sample`` rows of each class, the lowest hashes of doc_id) gives seed terms: words whose share of toxic
-   documents is far and significantly above their share of clean ones, and neutral seeds. Near copies count once, so that one much-copied document
-   makes no seeds.
+1. A bounded sample of labelled documents (``sample`` rows of each class, the lowest hashes of doc_id) gives seed terms: words of at least SEED_DOCS toxic
+   documents whose share of toxic documents is SEED_RATIO times that of clean ones, with a log-likelihood ratio beyond that of chance among as many words as
+   could pass (the universal threshold 2 ln V); and neutral seeds. Near copies count once, so that one much-copied document makes no seeds.
 2. One pass over *all* documents counts for each word the documents that have it, and those that also have a toxic seed. The graph's words are all
-   seeds and every word of at least ``MIN_SHARE`` of the documents that mostly occurs beside toxic seeds. Such a vocabulary is bounded by 1/MIN_SHARE
-   times the distinct words of a mean document, whatever the corpus' size.
-3. Co-occurrence in documents is counted over the whole corpus as dense X'X products per block of documents, added per task, then shuffled
-   once as one packed row of the matrix per word. Edges are positive PMI where the count is also significantly above chance,
-   and each word is among the other's nearest.
-4. Random walks with restart from the toxic and from the neutral seeds give each word a polarity in -1..1.
+   seeds and every word that, with confidence, has a share of at least BESIDE of its documents beside toxic seeds (the lower Wilson bound; so no word of
+   a few documents). That is a test of counts and not of shares of the corpus: the vocabulary grows with the corpus, also by words of rare languages.
+3. Co-occurrence in documents is counted over the whole corpus for pairs of the graph's words that do meet, added per task, then by a shuffle. Edges are
+   positive PMI where the count is also significantly above chance, and each word is among the other's NEIGHBOURS nearest: a sparse graph of a few edges a word.
+4. Random walks with restart from the toxic and from the neutral seeds give each word a polarity in -1..1: on the driver while the graph has at most
+   DRIVER_EDGES edges, and as joins over tables beyond that, with the same result.
 5. A document's score is the sum of the positive polarities of its distinct words; the sample sets the threshold.
 
-Defined results: null and empty texts score 0 and are not toxic; without labels of both classes there are no seeds, and nothing is toxic. Repeated rows
-are scored alike. doc_id may be null. Whole texts are read.
+Defined results: null and empty texts score 0 and are not toxic, and an empty table has no rows; without labels of both classes, or without seeds, nothing is
+toxic. Repeated rows are scored alike. doc_id may be null. Whole texts are read, of any length. Ties: neighbours whose PMI ties with the last are all kept, neutral
+seeds tie by hash, and of thresholds that tie the highest is taken. Other columns, of whatever names, are kept by the pipeline's stage and not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import Scratch, table, workers_import
+from .common import Scratch, table
 from .near_dedup import shingles
 
 SAMPLE = 10_000
-SEED_SHARE, SEED_RATIO, SEED_Z = 0.01, 8.0, 3.2
+SEED_DOCS, SEED_RATIO = 3, 8.0
 NEUTRAL, NEUTRAL_SHARES = 60, (0.02, 0.10)
-MIN_SHARE, BESIDE = 5e-4, 0.8
+BESIDE, CONFIDENCE = 0.8, 1.645
+DRIVER_EDGES, BROADCAST = 20_000_000, 1_000_000
+ROUNDS = 60
+PAIRS_AT_ONCE = 4_000_000
 RESTART = 0.15
 NEIGHBOURS = 5
 STRONG = 0.5
@@ -108,90 +112,116 @@ class Vocabulary:
         return at[ok], place[ok]
 
 
-def _pairs(hashes: np.ndarray):
+def _pairs(nodes, frequency, documents: int):
+    """(i, j, n, expected) of the pairs of nodes that share documents of the task: how many, and how many of all documents they would by chance."""
+
     def run(batches):
-        vocabulary = Vocabulary(hashes)
-        n = len(hashes)
-        total = np.zeros((n, n), np.float32)
+        hashes, df = nodes.value, frequency.value
+        vocabulary, size, parts = Vocabulary(hashes), len(hashes), []
+
+        def merged():
+            u, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return u, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
         for batch in batches:
             for _, data, offsets in K.blocks(batch.column("text")):
                 h, _, _, o = K.words(data, offsets)
                 at, place = vocabulary.find(h)
-                x = np.zeros((len(offsets) - 1, n), np.float32)
-                x[K.row_of(o)[at], place] = 1
-                total += x.T @ x
-        for i in np.flatnonzero(total.any(1)):  # a float32 holds counts of a task exactly
-            yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([total[i, i:].astype(np.int32).tobytes()], pa.binary())], ["i", "counts"])
+                held = np.unique(K.row_of(o)[at] * size + place)
+                row, place = held // max(size, 1), held % max(size, 1)
+                after = np.searchsorted(row, row, "right") - np.arange(len(row)) - 1  # the row's nodes that follow each
+                total, a = np.cumsum(after), 0
+                while a < len(row):
+                    b = max(a + 1, int(np.searchsorted(total, total[a] - after[a] + PAIRS_AT_ONCE, "right")))
+                    first = np.repeat(np.arange(a, b), after[a:b])
+                    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(after[a:b]) - after[a:b], after[a:b])
+                    parts.append(np.unique(place[first] * size + place[second], return_counts=True))
+                    if sum(len(k) for k, _ in parts) > PAIRS_AT_ONCE:
+                        parts = [merged()]
+                    a = b
+        if parts:
+            key, n = merged()
+            i, j = key // size, key % size
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(n), pa.array(df[i] * df[j] / documents)], ["i", "j", "n", "expected"])
 
     return run
 
 
-def _added(groups):
-    def add(t: pa.Table) -> pa.Table:
-        rows = t.column("counts").to_pylist()
-        total = np.zeros(len(rows[0]) // 4, np.int64)
-        for r in rows:
-            total += np.frombuffer(r, np.int32)
-        return pa.table({"i": t.column("i").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    return groups.applyInArrow(add, "i int, counts binary")
-
-
-def seeds(sample: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From rows (words, toxic, clean) of clusters: toxic seeds, and all words with their clean counts less toxic evidence, for the neutral ones."""
-    word = np.array([r["word"] for r in sample], np.int64).view(np.uint64)
-    n1, n0, t1, t0 = (np.array([r[k] for r in sample], float) for k in ("n1", "n0", "t1", "t0"))
-    if not len(word) or not t1[0] or not t0[0]:
-        return word[:0], word[:0], n0[:0]
-    p1, p0 = (n1 + 0.5) / (t1 + 1), (n0 + 0.5) / (t0 + 1)
-    z = np.log(p1 / p0) / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    toxic = (n1 / t1 >= SEED_SHARE) & (p1 / p0 >= SEED_RATIO) & (z >= SEED_Z)
-    neutral = (p1 / p0 <= 1) & ~toxic
-    neutral &= (n0 / t0 >= NEUTRAL_SHARES[0]) & (n0 / t0 <= NEUTRAL_SHARES[1])
-    return word[toxic], word[neutral], n0[neutral]
-
-
-def walk(counts: np.ndarray, documents: int, toxic: np.ndarray, neutral: np.ndarray) -> np.ndarray:
-    """Polarities of all words from symmetric co-occurrence counts whose diagonal has the words' documents."""
-    df = np.diag(counts).astype(float)
-    expected = np.outer(df, df) / max(documents, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ppmi = np.log(counts / expected)
-    ppmi[~((ppmi > 0) & (counts >= expected + 3 * np.sqrt(expected)) & (counts >= 3))] = 0
-    np.fill_diagonal(ppmi, 0)
-    if len(ppmi) > NEIGHBOURS:  # two words stay linked if each is among the other's nearest: topic and language alone link nothing to toxic words
-        least = np.sort(ppmi, 1)[:, -NEIGHBOURS]
-        near = ppmi >= np.maximum(least, 1e-12)[:, None]
-        ppmi[~(near & near.T)] = 0
-    size = np.sqrt(ppmi.sum(1))
-    scale = np.outer(size, size)
-    step = np.divide(ppmi, scale, out=np.zeros_like(ppmi), where=scale > 0)  # the symmetric normalisation: a word of few links isn't flooded by them
+def edges_of(counted: DataFrame) -> DataFrame:
+    """(a, b, weight), a < b, of the graph, from rows (i, j, n, expected) that may come in parts: significant positive PMI between mutual nearest neighbours."""
+    pairs = counted.groupBy("i", "j").agg(F.sum("n").alias("n"), F.max("expected").alias("expected"))
+    strong = (F.col("n") >= 3) & (F.col("n") > F.col("expected")) & (F.col("n") >= F.col("expected") + 3 * F.sqrt("expected"))
+    linked = pairs.where(strong).select("i", "j", F.log(F.col("n") / F.col("expected")).alias("weight"))
+    each = linked.select(F.explode(F.array(F.struct(F.col("i").alias("of"), F.col("j").alias("to")), F.struct(F.col("j").alias("of"), F.col("i").alias("to")))).alias("e"), "weight").select("e.*", "weight")
+    nearest = each.withColumn("rank", F.rank().over(Window.partitionBy("of").orderBy(F.desc("weight")))).where(F.col("rank") <= NEIGHBOURS)
+    return nearest.groupBy(F.least("of", "to").alias("a"), F.greatest("of", "to").alias("b")).agg(F.count("*").alias("n"), F.max("weight").alias("weight")).where("n = 2").drop("n")
+
+
+def seed_words(counts: DataFrame, t1: int, t0: int, testable: int) -> tuple[DataFrame, DataFrame]:
+    """From (word, n1, n0), the toxic and clean documents with a word of t1 and t0: the toxic seeds (word), and candidates for neutral ones (word, n0)."""
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    ratio = ((n1 + 0.5) / (t1 + 1)) / ((n0 + 0.5) / (t0 + 1))
+    all_ = float(t1 + t0)
+
+    def term(n, expected):
+        return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+
+    g = 2 * (term(n1, (n1 + n0) * t1 / all_) + term(n0, (n1 + n0) * t0 / all_) + term(t1 - n1, (all_ - n1 - n0) * t1 / all_) + term(t0 - n0, (all_ - n1 - n0) * t0 / all_))
+    toxic = counts.where((n1 >= SEED_DOCS) & (ratio >= SEED_RATIO) & (g >= 2 * np.log(max(testable, 2)))).select("word")
+    return toxic, counts.where((ratio <= 1) & n0.between(NEUTRAL_SHARES[0] * t0, NEUTRAL_SHARES[1] * t0)).select("word", "n0")
+
+
+def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, toxic: np.ndarray, neutral: np.ndarray) -> np.ndarray:
+    """Polarities of all words from undirected edges; toxic and neutral mark the words where the walks start."""
+    n = len(toxic)
+    of, to, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
+    size = np.sqrt(np.bincount(of, weights=w, minlength=n))
+    step = w / (size[of] * size[to])  # the symmetric normalisation: a word of few links isn't flooded by them
 
     def mass(start):
         s = start / max(start.sum(), 1)
         p = s
-        for _ in range(60):
-            p = (1 - RESTART) * (p @ step) + RESTART * s
+        for _ in range(ROUNDS):
+            p = (1 - RESTART) * np.bincount(to, weights=p[of] * step, minlength=n) + RESTART * s
         return p
 
-    a, b = mass(toxic.astype(float)), mass(neutral.astype(float))
-    return np.divide(a - b, a + b, out=np.zeros_like(a), where=a + b > 0)
+    x, y = mass(toxic.astype(float)), mass(neutral.astype(float))
+    return np.divide(x - y, x + y, out=np.zeros_like(x), where=x + y > 0)
+
+
+def walk_tables(spark: SparkSession, edges: DataFrame, toxic: np.ndarray, neutral: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """The same polarities by joins, for graphs too large for the driver's arrays; only the words' own arrays are there."""
+    both = edges.select("a", "b", "weight").union(edges.select(F.col("b"), F.col("a"), "weight")).toDF("of", "to", "weight")
+    size = both.groupBy("of").agg(F.sqrt(F.sum("weight")).alias("size"))
+    step = both.join(size, "of").withColumnRenamed("size", "size_of").join(size.select(F.col("of").alias("to"), F.col("size").alias("size_to")), "to")
+    step = scratch.save(step.select("of", "to", (F.col("weight") / (F.col("size_of") * F.col("size_to"))).alias("step")), "step")
+    starts = spark.createDataFrame(pa.table({"node": np.arange(len(toxic)), "x0": toxic / max(toxic.sum(), 1), "y0": neutral / max(neutral.sum(), 1)}))
+    now = starts.select("node", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    for k in range(ROUNDS):
+        come = step.join(now.withColumnRenamed("node", "of"), "of").groupBy("to").agg(F.sum(F.col("x") * F.col("step")).alias("x"), F.sum(F.col("y") * F.col("step")).alias("y"))
+        then = starts.join(come.withColumnRenamed("to", "node"), "node", "left")
+        now = then.select("node", *[((1 - RESTART) * F.coalesce(c, F.lit(0.0)) + RESTART * F.col(f"{c}0")).alias(c) for c in "xy"])
+        now = scratch.save(now, f"walk{k}")
+        if k:
+            scratch.drop(f"walk{k - 1}")
+    out = np.zeros(len(toxic))
+    t = now.select("node", F.when(F.col("x") + F.col("y") > 0, (F.col("x") - F.col("y")) / (F.col("x") + F.col("y"))).otherwise(0.0).alias("polarity")).toArrow()
+    out[t.column("node").to_numpy()] = t.column("polarity").to_numpy()
+    return out
 
 
 def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
     """The middle of the gap whose lower end has the best F1 on the sample; a tie takes the highest."""
     if not toxic.any():
         return float("inf")
-    values = np.unique(scores)
-    best, at = -1.0, float("inf")
-    for low, high in zip(np.append(-1.0, values[:-1]), values):
-        if high <= 0:
-            continue
-        hit = scores >= high
-        f1 = 2 * (hit & toxic).sum() / max(1, hit.sum() + toxic.sum())
-        if f1 >= best:
-            best, at = f1, (max(low, 0.0) + high) / 2
-    return at
+    values, at = np.unique(scores, return_inverse=True)
+    hits = np.cumsum(np.bincount(at)[::-1])[::-1]
+    right = np.cumsum(np.bincount(at, weights=toxic)[::-1])[::-1]
+    f1 = np.where(values > 0, 2 * right / np.maximum(1, hits + toxic.sum()), -1.0)
+    best = len(values) - 1 - int(np.argmax(f1[::-1]))
+    if values[best] <= 0:
+        return float("inf")
+    return float((max(values[best - 1] if best else -1.0, 0.0) + values[best]) / 2)
 
 
 def induce(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, scratch: Scratch | None = None):
@@ -204,34 +234,40 @@ def induce(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
         part = labelled.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     some = scratch.save(docs.join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, toxic int, cluster long, words array<long>"), "sample")
-    clusters = some.groupBy("toxic").agg(F.countDistinct("cluster").alias("n")).collect()
-    t = {r["toxic"]: r["n"] for r in clusters}
-    found = (
-        some.select("toxic", "cluster", F.explode("words").alias("word")).distinct().groupBy("word")
-        .agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
-        .where((F.col("n1") >= max(3, SEED_SHARE * t.get(1, 0))) | F.col("n0").between(NEUTRAL_SHARES[0] * t.get(0, 0), NEUTRAL_SHARES[1] * t.get(0, 0)))
-        .withColumns({"t1": F.lit(t.get(1, 0)), "t0": F.lit(t.get(0, 0))}).collect()
-    )
-    toxic, neutral, support = seeds(found)
+    t = {r["toxic"]: r["n"] for r in some.groupBy("toxic").agg(F.countDistinct("cluster").alias("n")).collect()}
+    nothing = np.zeros(0, np.uint64), np.zeros(0), float("inf")
+    if len(t) < 2:
+        return nothing
+    each = some.select("toxic", "cluster", F.explode("words").alias("word")).distinct()
+    counts = scratch.save(each.groupBy("word").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")), "words")
+    toxic, neutral = seed_words(counts, t[1], t[0], counts.where(F.col("n1") >= SEED_DOCS).count())
+    toxic = toxic.toArrow().column("word").to_numpy().view(np.uint64)
+    calm = neutral.orderBy(F.desc("n0"), "word").limit(NEUTRAL).toArrow().column("word").to_numpy().view(np.uint64)
     if not len(toxic):
-        return np.zeros(0, np.uint64), np.zeros(0), float("inf")
-    order = np.lexsort((neutral, -support))
-    calm = neutral[order][:NEUTRAL]
+        return nothing
     df = scratch.save(docs.select("text").mapInArrow(_frequencies(toxic), "total boolean, word long, n long, beside long").groupBy("total", "word").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside")), "frequencies")
-    n = df.where("total").collect()[0]["n"]
-    near = df.where(~F.col("total") & (F.col("n") >= MIN_SHARE * n) & (F.col("n") >= 5) & (F.col("beside") >= BESIDE * F.col("n"))).select("word").collect()
-    nodes = np.unique(np.concatenate([np.array([r["word"] for r in near], np.int64).view(np.uint64), toxic, calm]))
-    is_toxic = np.isin(nodes, toxic)
-    counts = np.zeros((len(nodes), len(nodes)))
-    for r in _added(docs.select("text").mapInArrow(_pairs(nodes), "i int, counts binary").groupBy("i")).collect():
-        row = np.frombuffer(r["counts"], np.int64)
-        counts[r["i"], r["i"] :] = row
-        counts[r["i"] :, r["i"]] = row
-    polarity = walk(counts, n, is_toxic, np.isin(nodes, calm))
-    strong = polarity >= STRONG
-    hashes, weights = nodes[strong], polarity[strong]
+    documents = df.where("total").collect()[0]["n"]
+    z, n, share = CONFIDENCE, F.col("n"), F.col("beside") / F.col("n")
+    bound = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    seeds = spark.createDataFrame(pa.table({"word": K.signed(np.concatenate([toxic, calm]))}))
+    near = df.where(~F.col("total") & (bound >= BESIDE)).select("word", "n").union(df.where("not total").join(F.broadcast(seeds), "word", "left_semi").select("word", "n")).distinct().toArrow()
+    words, frequency = near.column("word").to_numpy().view(np.uint64), near.column("n").to_numpy()
+    order = np.argsort(words)
+    nodes, frequency = words[order], frequency[order].astype(float)
+    is_toxic, is_calm = np.isin(nodes, toxic), np.isin(nodes, calm)
+    send = spark.sparkContext.broadcast
+    counted = docs.select("text").mapInArrow(_pairs(send(nodes), send(frequency), documents), "i long, j long, n long, expected double")
+    edges = scratch.save(edges_of(counted), "edges")
+    if edges.count() <= DRIVER_EDGES:
+        e = edges.toArrow()
+        polarity = walk(e.column("a").to_numpy(), e.column("b").to_numpy(), e.column("weight").to_numpy(), is_toxic, is_calm)
+    else:
+        polarity = walk_tables(spark, edges, is_toxic, is_calm, scratch)
+    strong = np.round(polarity, 9) >= STRONG
+    hashes, weights = nodes[strong], np.round(polarity[strong], 9)
     lexicon = spark.createDataFrame(pa.table({"word": K.signed(hashes), "weight": weights}))
-    scored = some.select("doc_id", "toxic", F.explode("words").alias("word")).join(F.broadcast(lexicon), "word").groupBy("doc_id", "toxic").agg(F.sum("weight").alias("score"))
+    lexicon = F.broadcast(lexicon) if len(hashes) <= BROADCAST else lexicon
+    scored = some.select("doc_id", "toxic", F.explode("words").alias("word")).join(lexicon, "word").groupBy("doc_id", "toxic").agg(F.sum("weight").alias("score"))
     got = scored.select("toxic", F.round("score", 6).alias("score")).groupBy("toxic", "score").count().collect()
     size = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     scores = [r["score"] for r in got for _ in range(r["count"])]
@@ -241,7 +277,7 @@ def induce(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
         scores += [0.0] * rest
         is_bad += [bool(c)] * rest
     threshold = best_threshold(np.array(scores), np.array(is_bad))
-    scratch.drop("sample", "frequencies")
+    scratch.drop("sample", "words", "frequencies", "edges", "step")
     return hashes, weights, threshold
 
 
@@ -282,7 +318,6 @@ def without_toxic(docs: DataFrame, hashes: np.ndarray, weights: np.ndarray, thre
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    workers_import(spark)
     return score(docs, *induce(spark, docs, table(spark, sf_dir, "labels")))
 
 
