@@ -1,6 +1,10 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from timelineql.llm import sanitise as S
 
@@ -50,8 +54,6 @@ def test_odd_rows(spark, odd, none):
 def test_prefilter_lets_no_mention_out():
     import random
 
-    import pyarrow as pa
-
     digits = ["٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "०१२३४५६७८९", "0123456789"]
     numbers = ["012-345-6789", "123-45-6789", "4556737586899855", "+12 345 678 90"]
     rng = random.Random(4)
@@ -84,3 +86,31 @@ def test_rare_entities_are_measured(spark, make):
     rows += [(1000, "words of zorblax and more for bob@mail.com"), (1001, "words of grumwort for al@mail.com"), (1002, "more of grumwort and al@mail.com")]
     out = {r["doc_id"]: r["text"] for r in S.clean(spark, make(rows)).collect()}
     assert out[1000] == "words of and more for [EMAIL]" and out[1001] == "words of for [EMAIL]" and out[1002] == "more of and [EMAIL]"
+
+
+DIGITS = ["0123456789", "٠١٢٣٤٥٦٧٨٩", "०१२३४५६७८९", "０１２３４５６７８９"]
+#: Texts of the kinds that the rules find, and near misses of them.
+KINDS = [
+    r"[A-Z]{2}[0-9]{2}( ?[A-Z]{4}){3,7}", r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){3,7}( ?[A-Z0-9]{1,3})?", r"[0-9]{4}([ -]?[0-9]{4}){3}", r"[0-9]{13,19}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
+    r"\+[0-9]{1,3}([ .-]?[0-9]{2,4}){2,5}", r"\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}", r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"([0-9]{1,3}\.){3}[0-9]{1,3}",
+    r"([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", r"[0-9a-f]{30,34}", r"[a-f]{31}[0-9]", r"(AKIA|ASIA)[0-9A-Z]{16}", r"gh[opsu]_[A-Za-z0-9]{36}", r"sk-[A-Za-z0-9_-]{20,24}",
+    r"(token|secret|pwd|api_key) ?[=:] ?[a-z0-9]{5,9}", r"[a-zé0-9._]{1,6}@[a-zé0-9-]{1,6}(\.[a-z]{1,3}){1,2}", r"[a-zA-Z0-9@=:. ]{0,9}",
+]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.one_of([st.from_regex(k, fullmatch=True) for k in KINDS]), st.sampled_from(DIGITS), st.sampled_from(["", " ", "\n", "x", ", "])), max_size=3))
+def test_cleaning_with_the_prefilter_is_cleaning_without(parts):
+    """Through the same function as the query, for every rule, digits of other scripts, and keys of few digits."""
+    text = "".join(t.translate(str.maketrans("0123456789", d)) + s for t, d, s in parts)
+
+    class Nothing:
+        value = np.zeros(0, np.int64)
+
+    texts = [text, "plain", None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    (out,) = S._cleaned(Nothing)(iter([batch]))
+    want, entities, _ = S.sanitised(text, lambda e, w: np.zeros(len(w), bool))
+    assert out.column("text").to_pylist() == [want, "plain", None, ""] and out.column("n_entities").to_pylist() == [entities, 0, 0, 0]
+    (gathered,) = S._gathered(iter([batch]))
+    assert gathered.num_rows == (entities > 0)

@@ -14,7 +14,8 @@ What the tasks are sent is a Bloom filter of bounded size, then exact joins; rev
 and joined to their documents beyond that, with the same result.
 
 Defined results: null stays null, empty stays empty. Texts without an entity come out unchanged. Repeated rows count as documents of their own; doc_id may
-be null. Texts are read whole.
+be null. Texts are read whole, of any length. An empty table has no rows, and other columns, of whatever names, aren't read. Ties: a term whose disclosure is
+exactly DISCLOSURE goes.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ _FINDER = regex.compile("|".join(f"(?P<k{i}>{pattern})" for i, (_, pattern) in e
 _WORD = regex.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 #: The rules' own digits beyond ASCII: Arrow knows those of an older Unicode only.
 _NATIVE = "".join(regex.findall(r"\d", "".join(map(chr, [*range(128, 0xD800), *range(0xE000, 0x110000)]))))
-_HEADS = f"AKIA|ASIA|gh[opsu]_|sk-|[0-9a-fA-F]{{32}}|[{_NATIVE}]"
+_HEADS = f"AKIA|ASIA|gh[opsu]_|sk-|[0-9a-fA-F]{{32}}|[A-Z]{{2}}[0-9]{{2}}|[{_NATIVE}]"
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[ord("0") : ord("9") + 1] = 1
 _SIGN = np.zeros(256, bool)
@@ -60,7 +61,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _suspects(column: pa.Array):
-    """Rows that could hold a mention: no rule matches without an @, four digits, an = or :, a digit of another script, a run of 32 hexadecimal digits, or the head of a known kind of key."""
+    """Rows that could hold a mention: no rule matches without an @, four digits, an = or :, a digit of another script, a run of 32 hexadecimal digits, or the head of a known kind of key or of an account number."""
     keys = np.asarray(pc.match_substring_regex(K.strings(column), _HEADS))
     for a, data, offsets in K.blocks(column, lower=False):
         full = np.flatnonzero(np.diff(offsets))
