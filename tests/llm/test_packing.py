@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -77,3 +78,24 @@ def test_odd_rows(spark, odd, none):
     sizes = [(r["doc_id"], len(r["text"].split())) for r in odd.collect() if r["text"] and r["text"].strip()]
     check(P.packed(spark, odd).collect(), sizes, P.CAPACITY)
     assert P.packed(spark, none).count() == 0
+
+
+def test_stage_carries_the_pieces_of_the_documents(spark, make, odd, none):
+    """Each row's pieces make up its text again, with its other columns, also of repeated rows, null ids and clashing names."""
+    from pyspark.sql import functions as F
+
+    texts = {1: "  a b\tc\n" * 2000, 2: "x", 3: " lead and trail ", 4: "é ü\u2003ö " * 1500}
+    docs = make([(i, t, f"s{i}") for i, t in texts.items()] + [(1, texts[1], "s1")])
+    got = {}
+    for r in P.stage(spark, docs, "").collect():
+        got.setdefault(r["doc_id"], []).append(r)
+        assert r["source"] == f"s{r['doc_id']}" and r["n_chars"] == len(r["text"]) and r["n_tokens"] == len([w for w in re.split(r"[ \t\n\x0b\f\r]+", r["text"]) if w]) <= P.CAPACITY
+    for i, rows in got.items():
+        copies = 1 + (i == 1)
+        assert len({(r["bin_id"], r["slot"]) for r in rows}) == len(rows)
+        starts = sorted({r["start"] for r in rows})
+        assert "".join(next(r["text"] for r in rows if r["start"] == s) for s in starts) == texts[i] and len(rows) == copies * len(starts)
+    out = P.stage(spark, odd.withColumns({"slot": F.lit("mine"), "row": F.lit(7), "odd name, ü": F.lit(8)}), "")
+    assert out.columns[:5] == ["_bin_id", "_slot", "place", "start", "n_tokens"] and out.columns[5:] == [*odd.columns, *[c for c in ("slot", "row", "odd name, ü") if c not in odd.columns]]
+    assert {r["slot"] for r in out.collect()} == {"mine"} and P.stage(spark, none, "").count() == 0
+    assert sorted(r["doc_id"] or 0 for r in out.where("start = 0").collect()) == sorted(r["doc_id"] or 0 for r in odd.where("text rlike '[^ \\t\\n]'").collect())

@@ -9,7 +9,9 @@
 4. The plan says which ranks among the pieces of a size go to which bins. Ranks are counted within hash buckets and offset by the buckets before, so
    that no size, however common, is ranked in one task.
 
-Defined results: null, empty and blank texts have no tokens and take no place. Every row is a document of its own, also if its doc_id is null or repeated.
+Defined results: null, empty and blank texts have no tokens and take no place; an empty table has no bins. Every row is a document of its own, also if its doc_id
+is null or repeated. Texts of any length are cut into as many pieces as they need. Pieces of a size tie, and are ranked by doc_id and start; of bins that fit
+alike the last filled is taken. Other columns, of whatever names, aren't read by the query, and are kept by the pipeline's stage: see there.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, table
+from . import kernel as K
+from .common import Scratch, fresh, table
 from .mixing import tokens
 
 CAPACITY = 2048
@@ -139,31 +143,69 @@ def _assigned(rows: np.ndarray):
             size, rank = batch.column("n_tokens").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(key, size << 44 | rank, "right") - 1
             bins = rows[at, 2] + rank - rows[at, 1]
-            columns = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
-            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(rows[at, 3]), pa.array(rows[at, 4]), *columns], ["bin_id", "slot", "place", "doc_id", "start", "n_tokens"])
+            names = [n for n in batch.schema.names if n != "rank"]
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(rows[at, 3]), pa.array(rows[at, 4]), *(batch.column(n) for n in names)], ["bin_id", "slot", "place", *names])
 
     return run
 
 
-def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
-    """(bin_id, slot, place in the bin, doc_id, start in the document, n_tokens) of all pieces."""
+def _pieces(capacity: int, text_at: int):
+    """Of each struct row: its pieces as (doc_id, start, n_tokens, row), where the row has the piece's text. The pieces of a text make it up again."""
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+
+    def run(batches):
+        for batch in batches:
+            whole = batch.column("row")
+            for r0, data, offsets in K.blocks(whole.field(text_at), lower=False):
+                token = ~space[data]
+                token[1:] &= space[data[:-1]]
+                heads = offsets[:-1][offsets[:-1] < len(data)]
+                token[heads] = ~space[data[heads]]
+                place = np.append(np.flatnonzero(token), len(data))
+                first = np.searchsorted(place, offsets)
+                n = np.diff(first)
+                many = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), many)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                begin = np.where(k == 0, offsets[row], place[np.minimum(first[row] + k * capacity, len(place) - 1)])
+                last = k == many[row] - 1
+                end = np.where(last, offsets[row + 1], place[np.minimum(first[row] + (k + 1) * capacity, len(place) - 1)])
+                raw = data.tobytes()
+                texts = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string())
+                mine = whole.take(pa.array(row + r0))
+                fields = [texts if i == text_at else mine.field(i) for i in range(mine.type.num_fields)]
+                cut = pa.StructArray.from_arrays(fields, fields=[f.with_type(pa.string()) if i == text_at else f for i, f in enumerate(mine.type)])
+                start = k * capacity
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row + r0)), pa.array(start), pa.array(np.minimum(capacity, n[row] - start)), cut], ["doc_id", "start", "n_tokens", "row"])
+
+    return run
+
+
+def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None, rows: bool = False) -> DataFrame:
+    """(bin_id, slot, place in the bin, doc_id, start in the document, n_tokens) of all pieces; and with rows, a struct of the document's columns with the piece's text."""
     scratch = scratch or Scratch(spark)
     sized = scratch.save(docs.select("doc_id", tokens().alias("tokens")).where("tokens > 0"), "sizes")
     n = sized.agg(F.sum(F.ceil(F.col("tokens") / capacity))).collect()[0][0] or 0
     buckets = max(8, n // BUCKET_PIECES)
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(capacity).cast("long")))
-    pieces = sized.select("doc_id", "tokens", start.alias("start")).select(
-        "doc_id", "start", F.least(F.lit(capacity), F.col("tokens") - F.col("start")).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).alias("bucket")
-    )
-    counted = scratch.save(pieces.groupBy("n_tokens", "bucket").count(), "counted")
+    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).alias("bucket")
+    pieces = sized.select("doc_id", "tokens", start.alias("start")).select("doc_id", "start", F.least(F.lit(capacity), F.col("tokens") - F.col("start")).cast("long").alias("n_tokens"))
+    counted = scratch.save(pieces.select("n_tokens", bucket).groupBy("n_tokens", "bucket").count(), "counted")
     counts = np.zeros(capacity + 1, np.int64)
     for r in counted.groupBy("n_tokens").agg(F.sum("count").alias("n")).collect():
         counts[r["n_tokens"]] = r["n"]
+    longs = lambda *names: [T.StructField(x, T.LongType()) for x in names]
+    schema = longs("doc_id", "start", "n_tokens")
+    if rows:
+        row = docs.select(F.col("doc_id").cast("long"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        schema.append(row.schema["row"])
+        pieces = row.mapInArrow(_pieces(capacity, docs.columns.index("text")), T.StructType(schema))
+    pieces = pieces.select("*", bucket)
     offset = F.coalesce(F.sum("count").over(Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "start")) - 1
     ranked = pieces.withColumn("own", own).join(counted.select("n_tokens", "bucket", offset.alias("offset")), ["n_tokens", "bucket"]).withColumn("rank", F.col("own") + F.col("offset"))
-    schema = "bin_id long, slot long, place long, doc_id long, start long, n_tokens long"
-    return ranked.select("doc_id", "start", "n_tokens", "rank").mapInArrow(_assigned(plan(counts, capacity)), schema)
+    return ranked.drop("own", "offset", "bucket").select("doc_id", "start", "n_tokens", *["row"] * rows, "rank").mapInArrow(_assigned(plan(counts, capacity)), T.StructType(longs("bin_id", "slot", "place") + schema))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,4 +213,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(spark, docs)
+    """A row for each piece: bin_id, slot, place, start and n_tokens, then the document's columns, where text is the piece's (the pieces of a text make it up
+    again) and n_chars its length. If documents have columns of the first names, those of the bins get underscores before them."""
+    out = packed(spark, docs, rows=True)
+    bins = ["bin_id", "slot", "place", "start", "n_tokens"]
+    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    if "n_chars" in docs.columns:
+        columns[docs.columns.index("n_chars")] = F.length("row.text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[F.col(b).alias(name) for b, name in zip(bins, fresh(docs.columns, *bins))], *columns)
