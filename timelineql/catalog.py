@@ -87,9 +87,11 @@ before_a = f"(select count(*) from e x where x.user_id = r.user_id and {code(A,
 ALL = "x.user_id = x.user_id"
 inside_z = near(Z, "gap between 0 and 3", "x", own=True)
 _rise = """, s as (select user_id, value - min(value) over (partition by user_id order by ts, event_id) as up, max(value) over (partition by user_id order by ts, event_id) - value as down,
- (value - min(value) over (partition by user_id order by ts, event_id)) / min(value) over (partition by user_id order by ts, event_id) as up_by from e)"""
+ (value - min(value) over (partition by user_id order by ts, event_id)) / min(value) over (partition by user_id order by ts, event_id) as up_by,
+ (max(value) over (partition by user_id order by ts, event_id) - value) / max(value) over (partition by user_id order by ts, event_id) as down_by from e)"""
 slide = "(select {0} from e x where x.user_id = w.user_id and x.day between w.day - {1} and w.day)"
 per_ref = f"{some(code(Z, 'x'))} and not exists (select 1 from e w where w.user_id = r.user_id and {code(Z, 'w')} and not coalesce((select {{0}} from e x where x.user_id = w.user_id and x.day - w.day between 0 and 3), false))"
+per_ref_around = per_ref.replace("x.day - w.day between 0 and 3", "abs(x.day - w.day) between 2 and 3")
 
 _near_error = code(A, "x") + " and exists (select 1 from e z where z.user_id = x.user_id and z.code like 'error%' and x.day - z.day between 0 and 3)"
 
@@ -159,6 +161,8 @@ ROWS: dict[str, tuple] = {
     "g9_rise": ("rise(value) > 240", "(select max(up) from s where s.user_id = r.user_id) > 240", _rise),
     "g10_fall": ("fall(value) > 240", "(select max(down) from s where s.user_id = r.user_id) > 240", _rise),
     "g11_rise_relative": ("rise(value) > 50000%", "(select max(up_by) from s where s.user_id = r.user_id) > 500", _rise),
+    "g11_fall_relative": ("fall(value) > 99%", "(select max(down_by) from s where s.user_id = r.user_id) > 0.99", _rise),
+    "g23_per_reference_around": (f"sum(value) > 150 inside 2 to 3 days around every {Z}", per_ref_around.format("coalesce(sum(x.value), 0) > 150")),
     "g21_anchored": (f"sum(value) > 900 inside 3 days after {Z}", f"{some(code(Z, 'x'))} and {agg('coalesce(sum(x.value), 0) > 900', inside_z)}"),
     "g21_anchored_rise": (f"rise(value) > 150 inside 3 days after {Z}", f"{some(code(Z, 'x'))} and exists (select 1 from e x join e y on x.user_id = y.user_id and y.pos > x.pos where x.user_id = r.user_id and y.value - x.value > 150 and {inside_z} and {near(Z, 'gap between 0 and 3', 'y', 'z2', own=True)})"),
     "g22_anchored_outside": (f"mean(value) > 50 outside 3 days after {Z}", f"{some(code(Z, 'x'))} and {agg('avg(x.value) > 50', f'not {inside_z}')}"),
@@ -285,6 +289,42 @@ def _string_query(spark, d):
     return V.string_query_auto(events(spark, d), "click* before error*", LETTERS)
 
 
+def _strings(text: str, mode: str = "order", step: int = 5) -> Query:
+    def run(spark, d):
+        log = events(spark, d)
+        if mode == "durations":
+            log = EventLog(log.df.withColumn("days", F.floor(F.col("value") / 10).cast("int")), log.config, event_duration="days")
+        return V.string_query_auto(log, text, LETTERS, mode, step=step, no_event="-")
+
+    return run
+
+
+def _cross(spark, d):
+    df, strings, same = V.cross_validate(events(spark, d), "click* before error*", LETTERS)
+    return df.agg(F.count("*").alias("n_rows")).crossJoin(strings.agg(F.count("*").alias("n_strings"))).withColumn("same", F.lit(same))
+
+
+def _bounded(spark, d):
+    return T.stringify_order(events(spark, d), LETTERS, first_date="2024-01-05", last_date="2024-01-20")
+
+
+def _bounded_by_person(spark, d):
+    return T.stringify_order(events(spark, d), LETTERS, first_date={i: f"2024-01-{1 + i % 28:02d}" for i in range(1, 31)})
+
+
+def _mask(spark, d):
+    both = query(events(spark, d), f"{A} before {Z}").mask(f"min 2 of {Y}", "persons")
+    return both.groupBy("match", "m0").agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_persons"))
+
+
+def _years(**given) -> Query:
+    def run(spark, d):
+        found = I.incidence(_orders(spark, d), "F", **given)
+        return spark.createDataFrame([(y, round(float(n), 6)) for y, n in found.items()], "year int, n double")
+
+    return run
+
+
 def _raw(spark, d):
     return I.raw_table(I.events(_orders(spark, d), "F", 2))
 
@@ -306,8 +346,12 @@ def _incidence(spark, d):
 
 
 _E = f"with e as ({EVENTS}), p as (select user_id, min(day) filter (code = '{A}') as a, min(day) filter (code = '{Z}') as z from e group by user_id)"
+_S = "select user_id, string_agg(label, '' order by ts, event_id) as pattern from l where label is not null group by user_id"
 _L = f"with e as ({EVENTS}), l as (select *, case when code like 'click%' then 'c' when code like 'error%' then 'e' when code like 'purchase%' then 'p' end as label, day - min(day) filter (code like 'click%' or code like 'error%' or code like 'purchase%') over (partition by user_id) as since from e)"
 _O = "with f as (select o_custkey as pid, (o_orderdate::date - date '1970-01-01')::int as day, year(o_orderdate)::int as year from orders where o_orderstatus = 'F'), b as (select min(day) as low, max(day) as high from f)"
+#: The persons who still look new in each year but the first, by steps of a year back; and those who still have one event, by steps ahead and back.
+_W = "y as (select distinct year from f where year > (select min(year) from f)), s as (select year, (make_date(year, 1, 1) - date '1970-01-01')::int as start from y), g as (select year, start, unnest(list_distinct(range(0, (start - (select low from b) + 1)::bigint, 365) || [(start - (select low from b))::bigint]))::int as lookback_days from s), c as (select distinct pid, year from f), w as (select g.year, lookback_days, count(*) filter (not exists (select 1 from f where f.pid = c.pid and f.day < start and start - f.day <= lookback_days)) as n from g join c on c.year = g.year group by 1, 2)"
+_K = "y as (select distinct year from f where year > (select min(year) from f) and year < (select max(year) from f)), g as (select year, unnest(range(0, 6000, 365))::int as d, (make_date(year, 1, 1) - date '1970-01-01')::int as low, (make_date(year, 12, 31) - date '1970-01-01')::int as high from y), k as (select pid, year from f group by pid, year having count(*) < 2), w as (select g.year, d, count(*) filter ((select count(*) from f where f.pid = k.pid and f.day between g.low - d and g.high + d) < 2) as n from g join k on k.year = g.year, b where d = 0 or g.low - d >= b.low and g.high + d <= b.high group by 1, 2)"
 
 
 def _track_sql(step: int, label: str) -> str:
@@ -336,12 +380,25 @@ OTHER: dict[str, tuple[Query, str | None]] = {
     "p4_stringify_merged": (_merged, _L + f", t as (select user_id, max(since // 5) as n, {_track_sql(5, 'c')} as c, {_track_sql(5, 'e')} as e, {_track_sql(5, 'p')} as p from l where label is not null group by user_id) select user_id, list_aggregate(list_transform(range(1, n + 2), lambda k: rpad(c, (n + 1)::int, '-')[k] || rpad(e, (n + 1)::int, '-')[k] || rpad(p, (n + 1)::int, '-')[k]), 'string_agg', '|') as pattern from t"),
     "p5_stringify_durations": (_durations, f"with e as ({EVENTS}), x as (select *, day - min(day) over (partition by user_id) as since from e where code = 'error.hi'), t as (select user_id, since // 4 as a, since // 4 + floor(value / 10)::int // 4 as b from x), n as (select user_id, max(b) as n, list(a) as a, list(b) as b from t group by user_id) select user_id, list_aggregate(list_transform(range(0, n + 1), lambda k: case when len(list_filter(range(1, len(a) + 1), lambda i: a[i] <= k and k <= b[i])) > 0 then 'x' else '-' end), 'string_agg', '') as x from n"),
     "p8_overlay": (_overlay, _L + ", t as (select user_id, since // 3 as k, count(distinct label) as d, min(label) as label from l where label is not null group by 1, 2), n as (select user_id, max(k) as n from t group by 1), g as (select user_id, unnest(range(0, n + 1)) as k from n) select user_id, string_agg(case when d is null then '-' when d = 1 then label else 'x' end, '' order by k) as pattern from g left join t using (user_id, k) group by user_id"),
-    "p9_p12_string_operations": (_stringops, None),
+    "p2_bounds": (_bounded, _L + " select user_id, string_agg(label, '' order by ts, event_id) as pattern from l where label is not null and ts::date between date '2024-01-05' and date '2024-01-20' group by user_id"),
+    "p2_bounds_by_person": (_bounded_by_person, _L + " select user_id, string_agg(label, '' order by ts, event_id) as pattern from l where label is not null and user_id between 1 and 30 and ts::date >= make_date(2024, 1, (1 + user_id % 28)::int) group by user_id"),
+    "p9_p12_string_operations": (_stringops, _L + f", s as ({_S}), j as (select user_id, rpad(pattern, (select max(length(pattern)) from s)::int, '-') as pattern from s), c as (select user_id, pattern, string_split(pattern, '') as c from j) select user_id, length(pattern)::int as width, list_aggregate(list_filter(c, lambda x, i: i = 1 or x <> c[i - 1]), 'string_agg', '') as no_repeats, list_aggregate(list_transform(range(1, len(c) + 1, 3), lambda i: coalesce(list_filter(c[i : i + 2], lambda x: x <> '-')[1], '-')), 'string_agg', '') as short, coalesce(list_aggregate(list_filter(c, lambda x, i: (i > 1 and x = c[i - 1]) or (i < len(c) and x = c[i + 1])), 'string_agg', ''), '') as no_singles from c"),
+    "p13_string_counts": (_strings("min 14 of click*"), _L + " select user_id from l group by user_id having count(*) filter (label = 'c') >= 14"),
+    "p13_string_not": (_strings("not (min 13 of error*)"), _L + " select user_id from l where label is not null group by user_id having count(*) filter (label = 'e') < 13"),
+    "p13_string_window": (_strings("min 8 of (click* inside 1 to 2 events after error*)"), _L + ", n as (select *, row_number() over (partition by user_id order by ts, event_id) as k from l where label is not null) select user_id from n a where label = 'c' and exists (select 1 from n b where b.user_id = a.user_id and b.label = 'e' and a.k - b.k between 1 and 2) group by user_id having count(*) >= 8"),
+    "p13_time_before": (_strings("click* before error*", "time"), _L + " select user_id from l group by user_id having min(since // 5) filter (label = 'c') < min(since // 5) filter (label = 'e')"),
+    "p13_time_window": (_strings("exactly 5 of (click* inside 10 days after error*)", "time"), _L + ", k as (select distinct user_id, label, since // 5 as k from l where label is not null) select user_id from k a where label = 'c' and exists (select 1 from k b where b.user_id = a.user_id and b.label = 'e' and a.k - b.k between 1 and 2) group by user_id having count(*) = 5"),
+    "p13_durations": (_strings("min 9 of (purchase* simultaneously error*)", "durations", 4), _L + ", k as (select distinct user_id, label, unnest(range(since // 4, since // 4 + floor(value / 10)::int // 4 + 1)) as k from l where label is not null) select user_id from k where label = 'p' and user_id in (select a.user_id from k a join k b on a.user_id = b.user_id and a.k = b.k and a.label = 'p' and b.label = 'e') group by user_id having count(*) >= 9"),
+    "p16_cross_validate": (_cross, _L + ", f as (select user_id, min(day) filter (label = 'c') as c, min(day) filter (label = 'e') as e from l group by user_id) select count(*) as n_rows, count(*) as n_strings, true as same from f where c < e"),
+    "r3_mask": (_mask, _E + f", m as (select user_id, coalesce(a < z, false) as match, coalesce((select count(*) from e where e.user_id = p.user_id and e.code = '{Y}') >= 2, false) as m0 from p) select match, m0, count(*) as n_rows, count(distinct user_id) as n_persons from e join m using (user_id) group by match, m0"),
     "p13_string_query": (_string_query, _L + ", f as (select user_id, min(day) filter (label = 'c') as c, min(day) filter (label = 'e') as e from l group by user_id) select user_id from f where c < e"),
     "i1_raw_incidence": (_raw, _O + ", p as (select pid, min(year) as year from f group by pid having count(*) >= 2) select year, count(*) as n from p group by year"),
     "i2_washout": (_washout, _O + ", y as (select unnest([1998, 2000]) as year), s as (select year, (make_date(year, 1, 1) - date '1970-01-01')::int as start from y), g as (select year, start, unnest(list_distinct(range(0, (start - (select low from b) + 1)::bigint, 300) || [(start - (select low from b))::bigint]))::int as lookback_days from s), c as (select distinct pid, year from f) select g.year::int as year, lookback_days, count(*) filter (not exists (select 1 from f where f.pid = c.pid and f.day < start and start - f.day <= lookback_days)) as n from g join c on c.year = g.year group by 1, 2"),
     "i3_singles": (_singles, _O + ", g as (select unnest(range(0, 2000, 200))::int as d, (date '1998-01-01' - date '1970-01-01')::int as low, (date '1998-12-31' - date '1970-01-01')::int as high), k as (select pid from f where year = 1998 group by pid having count(*) < 3) select 1998 as year, d as expand_days, count(*) filter ((select count(*) from f where f.pid = k.pid and f.day between g.low - d and g.high + d) < 3) as n from g, b, k where d = 0 or g.low - d >= b.low and g.high + d <= b.high group by d"),
     "i7_incidence": (_incidence, None),
+    "i7_incidence_uncorrected": (_years(washout="none"), _O + " select year, count(*)::double as n from (select pid, min(year) as year from f group by pid) group by year"),
+    "i7_incidence_historical": (_years(washout="historical"), _O + f", {_W}, m as (select lookback_days as d, avg(w.n / s.n) as v from w join (select year, n from w where lookback_days = 0 and n > 0) s using (year) group by 1), r as (select year, count(*) as n, (year - min(year) over ()) * 365.25 as x from (select pid, min(year) as year from f group by pid) group by year) select year, round(n * (select v from m order by d desc limit 1) / greatest((select v from m order by abs(d - x), d limit 1), 1e-9), 6) as n from r"),
+    "i7_incidence_two_events": (_years(required_events=2, washout="none", lookahead="historical"), _O + f", {_K}, m as (select d, avg(w.n / s.n) as v from w join (select year, n from w where d = 0 and n > 0) s using (year) group by 1), r as (select p.year, count(*) as n, count(*) filter ((select count(*) from f where f.pid = p.pid and f.year = p.year) < 2) as few from (select pid, min(year) as year from f group by pid) p group by p.year) select year, round(greatest(0.0, n - few * (select min(v) from m)), 6) as n from r"),
 }
 
 QUERIES: dict[str, Query] = {n: rows(spec[0]) for n, spec in ROWS.items()} | {n: q for n, (q, _) in OTHER.items()}
