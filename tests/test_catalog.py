@@ -7,7 +7,7 @@ import pytest
 from timelineql import catalog
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["a2_prefix", "a5_cells", "a6_columns", "c5_zero", "t2_any", "t8_every_simultaneously", "w4_self", "w6_every_right", "w12_outside_bounds", "g23_per_reference", "g24_sliding_rise", "flagship", "r2_pct", "r5_multi_query", "s5_smart_combine", "b3_labels", "p4_stringify_merged", "p5_stringify_durations", "p13_string_query", "i2_washout", "i3_singles"]
+SOME = ["a2_prefix", "a5_cells", "a6_columns", "c5_zero", "t2_any", "t8_every_simultaneously", "w4_self", "w6_every_right", "w12_outside_bounds", "g23_per_reference", "g24_sliding_rise", "flagship", "r2_pct", "r5_multi_query", "s5_smart_combine", "b3_labels", "p4_stringify_merged", "p5_stringify_durations", "p13_string_query", "p9_p12_string_operations", "p13_string_window", "p13_time_window", "p13_durations", "p16_cross_validate", "p2_bounds_by_person", "r3_mask", "i7_incidence_historical", "i7_incidence_two_events", "i2_washout", "i3_singles"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no sample tables")

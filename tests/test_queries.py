@@ -171,3 +171,12 @@ def test_dates_that_are_none_and_ids_that_are_null(spark):
     tracks = tl.stringify_durations(ends, {"a": "K50", "b": "K51"}, event_end="stop", step=30).orderBy("pid").collect()
     assert [x["pid"] for x in tracks] == [1, 2]
     assert tl.stringify_order(ends, {"a": "K50", "b": "K51"}, last_date="stop").orderBy("pid").collect() == [(1, "ab"), (2, "b")]
+
+
+def test_made_up_data(spark):
+    df = tl.make_test_data(spark, n_persons=50, events_per_person=6, codes=("K50", "X1"), start_year=2019, end_year=2020, seed=3)
+    assert df.columns == ["pid", "start_date", "icd", "dose", "dose_k"] and df.select("pid").distinct().count() == 50 and 150 < df.count() < 450
+    got = df.agg({"start_date": "min"}).collect()[0][0].year, df.agg({"start_date": "max"}).collect()[0][0].year
+    assert set(got) <= {2019, 2020} and {r["icd"] for r in df.select("icd").distinct().collect()} == {"K50", "X1"}
+    assert df.where("dose_k is null and icd = 'K50' or dose_k is not null and icd = 'X1'").count() == 0
+    assert tl.query(df, "K50 before X1", cols="icd").count > 0
