@@ -9,7 +9,8 @@
    if content lines hold at least KEEP of the characters (bytes, without the newlines) of its lines.
 
 Defined results: null, empty and blank texts have no content (share 0) and aren't retained. Without labels of both classes every line with a word is content.
-Repeated rows are labelled alike; doc_id may be null. Whole texts are labelled, with any number of lines.
+Repeated rows are labelled alike; doc_id may be null. Whole texts are labelled, with any number of lines; an empty table has no rows. Ties of states are content, and
+of labels that a doc_id has more than one of the lower counts. Other columns, of whatever names, aren't read.
 """
 
 from __future__ import annotations
