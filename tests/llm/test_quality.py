@@ -159,3 +159,18 @@ def test_training_reaches_the_top_of_the_likelihood():
     for k in range(12):
         step = rng.normal(size=(Q.FEATURES,)) * 0.3, rng.normal(size=(2, 2)) * 0.3, float(rng.normal()) * 0.3
         assert likelihood(Q.Field(f.weights + step[0], f.move + step[1], f.start + step[2])) <= top + 1e-4
+
+
+def test_long_sequences_one_by_one(monkeypatch):
+    rng = np.random.default_rng(8)
+    field = Q.Field(np.round(rng.normal(size=Q.FEATURES), 1), np.round(rng.normal(size=(2, 2)), 1), 0.3)
+    o = np.concatenate([[0], np.cumsum(rng.integers(0, 12, 40))])
+    codes = rng.integers(0, Q.FEATURES, (o[-1], 8))
+    want = Q.viterbi(field, codes, o)
+    monkeypatch.setattr(Q, "LONG", 5)
+    assert Q.viterbi(field, codes, o).tolist() == want.tolist()
+    monkeypatch.setattr(Q, "LONG", 2000)
+    import time
+
+    began = time.process_time()
+    assert len(Q.viterbi(field, rng.integers(0, Q.FEATURES, (500_000, 8)), np.array([0, 0, 500_000]))) == 500_000 and time.process_time() - began < 20

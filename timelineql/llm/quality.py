@@ -25,6 +25,7 @@ from .common import table, workers_import
 
 TRAIN, KEEP = 2_000, 0.5
 STEPS, RATE, PENALTY = 150, 0.3, 1e-5
+LONG = 2_000
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
 _DIGIT = np.zeros(256, bool)
@@ -104,9 +105,32 @@ def _steps(o: np.ndarray):
         yield begin[: np.searchsorted(-length, -t, "left")] + t
 
 
+def _decoded(field: Field, e: list[float]) -> list[int]:
+    """The best states of one sequence, line by line."""
+    (m00, m01), (m10, m11) = field.move.tolist()
+    zero, one, back = 0.0, e[0] + field.start, []
+    for x in e[1:]:
+        a, b, c, d = zero + m00, one + m10, zero + m01, one + m11
+        back.append((b >= a, d >= c))
+        zero, one = b if b >= a else a, (d if d >= c else c) + x
+    states = [int(one >= zero)]
+    for steps in reversed(back):
+        states.append(int(steps[states[-1]]))
+    return states[::-1]
+
+
 def viterbi(field: Field, codes: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """The best state of each line, 1 for content; ties are content."""
+    """The best state of each line, 1 for content; ties are content. Sequences of more than LONG lines are decoded one by one, as few others are as long."""
     e = field.scores(codes)
+    long = np.flatnonzero(np.diff(o) > LONG)
+    if len(long):
+        out, at = np.zeros(len(e), np.int8), 0
+        for k in [*long.tolist(), len(o) - 1]:
+            out[o[at] : o[k]] = viterbi(field, codes[o[at] : o[k]], o[at : k + 1] - o[at])
+            if k < len(o) - 1:
+                out[o[k] : o[k + 1]] = _decoded(field, e[o[k] : o[k + 1]].tolist())
+            at = k + 1
+        return out
     back = np.zeros((len(e), 2), np.int8)
     best = np.zeros((len(e), 2))
     steps = list(_steps(o))
@@ -182,7 +206,8 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
         return None
     codes = np.frombuffer(b"".join(bytes(x) for r in some for x in r["lines"]), np.int16).reshape(-1, len(BINS) + 1).astype(np.int64)
     o = np.concatenate([[0], np.cumsum([len(r["lines"]) for r in some])])
-    return train(codes, o, line_labels(codes, o, good))
+    cuts = np.unique(np.concatenate([o, *(np.arange(a, b, LONG) for a, b in zip(o[:-1], o[1:]) if b - a > LONG)]))  # long sequences train in stretches
+    return train(codes, cuts, line_labels(codes, o, good))
 
 
 def labelled(docs: DataFrame, field: Field | None, keep: float = KEEP) -> DataFrame:
