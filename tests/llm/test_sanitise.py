@@ -114,3 +114,13 @@ def test_cleaning_with_the_prefilter_is_cleaning_without(parts):
     assert out.column("text").to_pylist() == [want, "plain", None, ""] and out.column("n_entities").to_pylist() == [entities, 0, 0, 0]
     (gathered,) = S._gathered(iter([batch]))
     assert gathered.num_rows == (entities > 0)
+
+
+def test_long_runs_take_time_in_proportion():
+    """Texts of one long run of letters, digits, hexadecimal digits or blanks, with something at the end that makes them suspects."""
+    import time
+
+    for run in ("a" * 2_000_000, "日本" * 500_000, "0123456789" * 100_000, "abcdef01" * 200_000 + "g", "token" + " " * 1_000_000, "a.b-" * 300_000, "x@y." * 100_000, "文字a1" * 300_000):
+        began = time.process_time()
+        out, n, _ = S.sanitised(run + " mail bob@example.com", lambda e, w: np.zeros(len(w), bool))
+        assert out.endswith("mail [EMAIL]") and time.process_time() - began < 20, run[:20]

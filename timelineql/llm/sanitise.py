@@ -37,7 +37,7 @@ BROADCAST = 4_000_000
 RULES = [
     ("SECRET", r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\b["']?\s*(?:=|:(?=\s*[^\s]*\d))\s*["']?[^\s"']{6,}["']?)"""),
     ("SECRET", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[opsu]_[A-Za-z0-9]{36,}\b|\bsk-[A-Za-z0-9_-]{20,}|\b(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}\b"),
-    ("EMAIL", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
+    ("EMAIL", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"),
     ("IBAN", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("CARD", r"(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?!\d)|(?<![\d.])\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<![\d.])\d{13,19}(?!\d)"),
     ("PHONE", r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"),
