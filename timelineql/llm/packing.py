@@ -182,30 +182,48 @@ def _pieces(capacity: int, text_at: int):
     return run
 
 
-def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None, rows: bool = False) -> DataFrame:
-    """(bin_id, slot, place in the bin, doc_id, start in the document, n_tokens) of all pieces; and with rows, a struct of the document's columns with the piece's text."""
+def _planned(pieces: DataFrame, capacity: int, own, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """The pieces (with n_tokens, n, doc_id and start) with the rank of the first of each row's n pieces, and the plan. own orders what a bucket holds."""
+    n = pieces.agg(F.sum("n")).collect()[0][0] or 0
+    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(8, n // BUCKET_PIECES))).alias("bucket")
+    counted = scratch.save(pieces.select("n_tokens", bucket, "n").groupBy("n_tokens", "bucket").agg(F.sum("n").alias("n")), "counted")
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in counted.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect():
+        counts[r["n_tokens"]] = r["n"]
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = counted.select("n_tokens", "bucket", before(Window.partitionBy("n_tokens").orderBy("bucket")).alias("offset"))
+    inside = pieces.select("*", bucket).withColumn("own", before(Window.partitionBy("n_tokens", "bucket").orderBy(*own)))
+    ranked = inside.join(offset, ["n_tokens", "bucket"]).withColumn("rank", F.col("own") + F.col("offset"))
+    return ranked.drop("own", "offset", "bucket"), plan(counts, capacity)
+
+
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(x, T.LongType()) for x in names]
+
+
+def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
+    """(bin_id, slot, place in the bin, doc_id, start in the document, n_tokens) of all pieces."""
     scratch = scratch or Scratch(spark)
     sized = scratch.save(docs.select("doc_id", tokens().alias("tokens")).where("tokens > 0"), "sizes")
-    n = sized.agg(F.sum(F.ceil(F.col("tokens") / capacity))).collect()[0][0] or 0
-    buckets = max(8, n // BUCKET_PIECES)
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(capacity).cast("long")))
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).alias("bucket")
-    pieces = sized.select("doc_id", "tokens", start.alias("start")).select("doc_id", "start", F.least(F.lit(capacity), F.col("tokens") - F.col("start")).cast("long").alias("n_tokens"))
-    counted = scratch.save(pieces.select("n_tokens", bucket).groupBy("n_tokens", "bucket").count(), "counted")
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in counted.groupBy("n_tokens").agg(F.sum("count").alias("n")).collect():
-        counts[r["n_tokens"]] = r["n"]
-    longs = lambda *names: [T.StructField(x, T.LongType()) for x in names]
-    schema = longs("doc_id", "start", "n_tokens")
-    if rows:
-        row = docs.select(F.col("doc_id").cast("long"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-        schema.append(row.schema["row"])
-        pieces = row.mapInArrow(_pieces(capacity, docs.columns.index("text")), T.StructType(schema))
-    pieces = pieces.select("*", bucket)
-    offset = F.coalesce(F.sum("count").over(Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "start")) - 1
-    ranked = pieces.withColumn("own", own).join(counted.select("n_tokens", "bucket", offset.alias("offset")), ["n_tokens", "bucket"]).withColumn("rank", F.col("own") + F.col("offset"))
-    return ranked.drop("own", "offset", "bucket").select("doc_id", "start", "n_tokens", *["row"] * rows, "rank").mapInArrow(_assigned(plan(counts, capacity)), T.StructType(longs("bin_id", "slot", "place") + schema))
+    pieces = sized.select("doc_id", "tokens", start.alias("start")).select("doc_id", "start", F.least(F.lit(capacity), F.col("tokens") - F.col("start")).cast("long").alias("n_tokens"), F.lit(1).alias("n"))
+    ranked, rows = _planned(pieces, capacity, ("doc_id", "start"), scratch)
+    return ranked.select("doc_id", "start", "n_tokens", "rank").mapInArrow(_assigned(rows), T.StructType(_longs("bin_id", "slot", "place", "doc_id", "start", "n_tokens")))
+
+
+def packed_rows(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
+    """The same with a struct of the document's columns, row, that has the piece's text. Pieces are ranked by narrow keys, of which equal pieces have one and
+    count; the texts then meet their key's ranks in a join by its hash, so that no size, however common, brings many texts to one task."""
+    scratch = scratch or Scratch(spark)
+    row = docs.select(F.col("doc_id").cast("long"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cut = row.mapInArrow(_pieces(capacity, docs.columns.index("text")), T.StructType([*_longs("doc_id", "start", "n_tokens"), row.schema["row"]]))
+    cut = scratch.save(cut.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "start", "n_tokens", F.xxhash64(F.col("doc_id").isNull(), "row.text").alias("hash"), "row"), "pieces")
+    key = ["doc_id", "start", "n_tokens", "hash"]
+    keys = scratch.save(cut.groupBy(*key).agg(F.count("*").alias("n")), "keys")
+    ranked, rows = _planned(keys, capacity, ("doc_id", "start", "hash"), scratch)
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))) - 1
+    whole = cut.withColumn("copy", copy).join(ranked.select(*key, "rank").hint("shuffle_hash"), key).withColumn("rank", F.col("rank") + F.col("copy"))
+    return whole.select("start", "n_tokens", "row", "rank").mapInArrow(_assigned(rows), T.StructType([*_longs("bin_id", "slot", "place", "start", "n_tokens"), row.schema["row"]]))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +233,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece: bin_id, slot, place, start and n_tokens, then the document's columns, where text is the piece's (the pieces of a text make it up
     again) and n_chars its length. If documents have columns of the first names, those of the bins get underscores before them."""
-    out = packed(spark, docs, rows=True)
+    out = packed_rows(spark, docs)
     bins = ["bin_id", "slot", "place", "start", "n_tokens"]
     columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
