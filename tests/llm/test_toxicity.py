@@ -172,3 +172,67 @@ def test_thresholds_of_a_full_search():
             if high > 0 and bad.any() and f1 >= best:
                 best, at = f1, (low + high) / 2
         assert X.best_threshold(scores, bad) == at
+
+
+def whole(texts, toxic_of):
+    """The lexicon of the graph of all words, dense, with walks over all of it; texts of whole words, of which no two are near copies."""
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    words = sorted(set().union(*sets.values()))
+    held = np.array([[w in s for w in words] for s in sets.values()], float)
+    label = np.array([toxic_of.get(i, -1) for i in sets])
+    t1, t0 = (label == 1).sum(), (label == 0).sum()
+    n1, n0 = held[label == 1].sum(0), held[label == 0].sum(0)
+
+    def g(k1, k0):
+        rows = [(k1, k0), (t1 - k1, t0 - k0)]
+        return 2 * sum(o * math.log(o / (sum(row) * t / (t1 + t0))) for row in rows for o, t in zip(row, (t1, t0)) if o)
+
+    ratio = (n1 + 0.5) / (t1 + 1) / ((n0 + 0.5) / (t0 + 1))
+    enough = 2 * math.log((n1 >= X.SEED_DOCS).sum())
+    toxic = np.array([a >= X.SEED_DOCS and r >= X.SEED_RATIO and g(a, b) >= enough for a, b, r in zip(n1, n0, ratio)])
+    neutral = (n0 >= 1) & (ratio < X.SEED_RATIO)
+    c = held.T @ held
+    df = np.diag(c)
+    e = np.outer(df, df) / len(sets)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        pmi = np.where((c >= 3) & (c > e) & (2 * (c * np.log(c / e) - c + e) >= 2 * math.log((df >= 3).sum())), np.log(c / e), 0)
+    np.fill_diagonal(pmi, 0)
+    near = np.array([[x > 0 and (row > x).sum() < X.NEIGHBOURS for x in row] for row in pmi])
+    pmi = pmi * near * (near.T | (neutral & ~toxic)[None])
+    size = pmi.sum(1, keepdims=True)
+    step = np.divide(pmi, size, out=np.zeros_like(pmi), where=size > 0)
+    x, y = toxic * 1.0, neutral * 1.0
+    for _ in range(X.ROUNDS):
+        x = np.where(toxic, 1, np.where(neutral, 0, (1 - X.RESTART) * step @ x))
+        y = np.where(toxic, 0, np.where(neutral, 1, (1 - X.RESTART) * step @ y))
+    polarity = np.divide(x - y, x + y, out=np.zeros_like(x), where=x + y > 0)
+    return {w: v for w, v, on in zip(words, polarity, np.round(polarity, 9) >= X.STRONG) if on}, [w for w, t in zip(words, toxic) if t]
+
+
+def test_the_graph_has_all_words(spark, make, monkeypatch):
+    """An unlabelled word that stands beside seeds in half of its documents gets the polarity of the graph of all words."""
+    rng = random.Random(5)
+    texts, toxic_of = {}, {}
+    for i in range(700):
+        toxic = i % 5 == 0
+        words = [f"w{rng.randrange(400)}" for _ in range(30)] + (rng.sample(BAD, 2) if toxic else [])
+        if i % 20 == 5:
+            words += ["vile"] * ("vile" not in words) + ["gadzooks"]
+        if i % 20 == 7:
+            words += ["gadzooks", "egad"]
+        if i % 20 == 9:
+            words += ["egad", "begorra", "w1"]
+        rng.shuffle(words)
+        texts[i] = " ".join(words)
+        if i % 20 not in (5, 7, 9):
+            toxic_of[i] = int(toxic)
+    lexicon, seeds = whole(texts, toxic_of)
+    assert "gadzooks" in set(lexicon) - set(seeds)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic_of.items()], "doc_id long, quality int, toxic int")
+    for limit in (X.DRIVER_EDGES, 0):
+        monkeypatch.setattr(X, "DRIVER_EDGES", limit)
+        if not limit:
+            monkeypatch.setattr(X, "ROUNDS", 5)
+            lexicon, _ = whole(texts, toxic_of)
+        hashes, weights, _ = X.induce(spark, make(list(texts.items())), labels)
+        assert dict(zip(hashes.tolist(), weights.tolist())) == pytest.approx({K.word_hash(w): v for w, v in lexicon.items()}, abs=1e-8)
