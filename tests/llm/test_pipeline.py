@@ -131,3 +131,28 @@ def test_entry_lists_the_queries():
     found = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in found if q.startswith("op")} and "pipeline" in found
     assert set(entry.oracle_sql()) <= set(found)
+
+
+def test_words_of_the_whole_graph_reject_documents(spark, make, tmp_path):
+    """The first stage drops documents for a word that no label shows and that stands beside seeds in two fifths of its documents."""
+    import random
+
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        words = [f"w{rng.randrange(900)}" for _ in range(30)]
+        if i % 6 == 0:
+            words += rng.sample(["vile", "scum", "idiot", "moron"], 2)
+        if i % 30 in (1, 6):
+            words += ["zounds", "vile"] if i % 30 == 6 and "vile" not in words else ["zounds"]
+        if i % 60 == 31:
+            words += ["zounds"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if i % 30 not in (1, 6):
+            labels.append((i, 1, int(i % 6 == 0)))
+    docs = make(rows)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in C.STAGES[0][1](spark, docs, str(tmp_path)).collect()}
+    assert not kept & set(range(0, 600, 6)) and not kept & set(range(1, 600, 30))
+    assert kept == set(range(600)) - set(range(0, 600, 6)) - set(range(1, 600, 30))
