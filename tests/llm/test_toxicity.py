@@ -236,3 +236,20 @@ def test_the_graph_has_all_words(spark, make, monkeypatch):
             lexicon, _ = whole(texts, toxic_of)
         hashes, weights, _ = X.induce(spark, make(list(texts.items())), labels)
         assert dict(zip(hashes.tolist(), weights.tolist())) == pytest.approx({K.word_hash(w): v for w, v in lexicon.items()}, abs=1e-8)
+
+
+def test_passes_copy_few_rows_at_once(monkeypatch):
+    """No pass lowers or hashes more than ROWS rows at a time, or hands on more; of rows cut so, scores and rows are those of single rows."""
+    import pyarrow as pa
+
+    most, blocks = [], K.blocks
+    monkeypatch.setattr(K, "blocks", lambda column, **k: most.append(len(column)) or blocks(column, **k))
+    texts = [None if i % 97 == 0 else f"w{i} scum" * (i % 3) for i in range(2 * X.ROWS + 7)]
+    h, w = np.array([K.word_hash("scum")], np.uint64), np.array([1.0])
+    got = X._scores(pa.array(texts), X.Vocabulary(h), w)
+    assert got.tolist() == [float(t is not None and "scum" in t.split()) for t in texts]
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts), pa.array([0] * len(texts), pa.int32()), pa.array([True] * len(texts))], ["doc_id", "text", "toxic", "alone"])
+    assert sum(b.num_rows for b in X._labelled(iter([batch]))) == len(texts)
+    assert [b for b in X._counts(iter([batch]))][-1].column("n").to_pylist() == [len(texts)]
+    assert max(most) <= X.ROWS

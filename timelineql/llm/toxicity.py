@@ -19,6 +19,8 @@ and of thresholds that tie the highest is taken. Other columns, of whatever name
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,12 +30,13 @@ from . import kernel as K
 from .common import Scratch, table
 from .near_dedup import shingles
 
+_libc = ctypes.CDLL(None)
 SEED_DOCS, SEED_RATIO = 3, 8.0
 DRIVER_EDGES, BROADCAST = 20_000_000, 1_000_000
 ROUNDS = 60
 PAIRS_AT_ONCE = 500_000
-#: Bytes of text that a task works through at once in the passes that also hold counts.
-BLOCK = 1 << 19
+#: Rows and bytes of text that a task works through at once; they change no result.
+ROWS, BLOCK = 500, 1 << 19
 RESTART = 0.15
 NEIGHBOURS = 5
 STRONG = 0.5
@@ -42,6 +45,20 @@ NEUTRAL, NEUTRAL_SHARES = 60, (0.02, 0.10)
 BESIDE, CONFIDENCE = 0.8, 1.645
 
 
+def _blocks(column):
+    """K.blocks, with the copies it makes being of ROWS rows instead of a whole batch."""
+    for r0 in range(0, len(column), ROWS):
+        for a, data, offsets in K.blocks(column.slice(r0, ROWS), limit=BLOCK):
+            yield r0 + a, data, offsets
+
+
+def _freed() -> None:
+    """Gives the worker's free memory back, which the next task's batches would come on top of."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def _distinct(data, offsets):
     """Word hashes of a block, each once a row, with their rows."""
     h, _, _, o = K.words(data, offsets)
@@ -65,9 +82,10 @@ def _clusters(data, offsets) -> np.ndarray:
 
 def _labelled(batches):
     for batch in batches:
-        for a, data, offsets in K.blocks(batch.column("text")):
+        for a, data, offsets in _blocks(batch.column("text")):
             part = batch.slice(a, len(offsets) - 1)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array(K.signed(_clusters(data, offsets)))], ["doc_id", "toxic", "cluster"])
+    _freed()
 
 
 COUNTED = "cluster long, word long, n long, n1 long, n0 long"
@@ -92,7 +110,7 @@ def _counts(batches):
     for batch in batches:
         toxic = batch.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
         alone = batch.column("alone").fill_null(False).to_numpy(zero_copy_only=False)
-        for a, data, offsets in K.blocks(batch.column("text"), limit=BLOCK):
+        for a, data, offsets in _blocks(batch.column("text")):
             h, r = _distinct(data, offsets)
             u, at = np.unique(h, return_inverse=True)
             parts.append((u, np.bincount(at, minlength=len(u)), *(np.bincount(at, weights=(alone & (toxic == c))[a + r], minlength=len(u)) for c in (1, 0))))
@@ -105,13 +123,13 @@ def _counts(batches):
         copied = (toxic >= 0) & ~alone
         if copied.any():
             c = toxic[copied]
-            for a, data, offsets in K.blocks(batch.column("text").filter(pa.array(copied)), limit=BLOCK):
+            for a, data, offsets in _blocks(batch.column("text").filter(pa.array(copied))):
                 h, r = _distinct(data, offsets)
                 yield table_of(pa.array(K.signed(_clusters(data, offsets)[r])), pa.array(K.signed(h)), np.zeros(len(h)), c[a + r] == 1, c[a + r] == 0)
     if parts:
         yield out()
     yield table_of(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), np.array([rows]), np.zeros(1), np.zeros(1))
-    pa.default_memory_pool().release_unused()
+    _freed()
 
 
 class Vocabulary:
@@ -150,7 +168,7 @@ def _pairs(words):
             return pa.RecordBatch.from_arrays([pa.array(of), pa.array(K.signed(to)), pa.array(n)], ["of", "to", "n"])
 
         for batch in batches:
-            for _, data, offsets in K.blocks(batch.column("text"), limit=BLOCK):
+            for _, data, offsets in _blocks(batch.column("text")):
                 h, r = _distinct(data, offsets)
                 at, place = vocabulary.find(h)
                 if not len(at):
@@ -175,7 +193,7 @@ def _pairs(words):
         if parts:
             parts = [merged()]
             yield out()
-        pa.default_memory_pool().release_unused()
+        _freed()
 
     return run
 
@@ -342,7 +360,7 @@ def induce(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scr
 
 def _scores(column, vocabulary: Vocabulary, weights: np.ndarray) -> np.ndarray:
     out = np.zeros(len(column))
-    for a, data, offsets in K.blocks(column):
+    for a, data, offsets in _blocks(column):
         h, _, _, o = K.words(data, offsets)
         at, place = vocabulary.find(h)
         n = len(vocabulary.hashes)
@@ -381,7 +399,10 @@ def without_toxic(docs: DataFrame, hashes: np.ndarray, weights: np.ndarray, thre
     def run(batches):
         vocabulary = Vocabulary(hashes)
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), vocabulary, weights) < threshold))
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                yield part.filter(pa.array(_scores(part.column(at), vocabulary, weights) < threshold))
+        _freed()
 
     return docs.mapInArrow(run, docs.schema)
 
