@@ -25,3 +25,28 @@ def test_equals_sql(spark, name):
 
 def test_every_query_of_rows_has_sql():
     assert set(catalog.ROWS) <= set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+#: Values of persons by time, one event a day: bases of 0 first, later, alone and after a negative one, and missing values.
+BASES = [[0, 5, 4], [7, 0, 9], [0, 0], [0], [-3, 0, 2], [0, -3, 2], [-3, -6], [None, 0, None, 8], [None], [8, 9], [600, 5], [0.5, 400], [100, 99, 0.5]]
+
+
+def equal_sql(spark, path, name, events):
+    """Holds the query against its SQL over a table of (day of the month, user, type, value)."""
+    import datetime as dt
+
+    import duckdb
+
+    rows = [(i, dt.datetime(2024, 1, day, 8), user, kind, None if v is None else float(v)) for i, (day, user, kind, v) in enumerate(events)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double").coalesce(1).write.parquet(f"{path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{path}/events.parquet/*.parquet'")
+    got = catalog.QUERIES[name](spark, str(path))
+    want = c.execute(f"select {', '.join(chr(34) + x + chr(34) for x in got.columns)} from ({catalog.SQL[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    return {r[0] for r in want}
+
+
+@pytest.mark.parametrize("name,persons", [("g11_fall_relative", {0, 1, 2, 3, 4, 5, 7, 10, 12})])
+def test_bases_of_zero(spark, tmp_path, name, persons):
+    assert equal_sql(spark, tmp_path, name, [(1 + k, user, "purchase", v) for user, values in enumerate(BASES) for k, v in enumerate(values)]) == persons

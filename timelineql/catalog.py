@@ -176,6 +176,9 @@ ROWS: dict[str, tuple] = {
     "o_nested": (f"(min 2 of ({A} inside 3 days after error*)) and not {Y}", f"not {some(code(Y, 'x'))} and 2 <= {agg('count(*)', _near_error)}"),
 }
 
+#: Whose SQL divides by bases of 0 too.
+ANY_BASE = ("g11_fall_relative",)
+
 FLAGSHIP = "sum(value) > 700 inside 7 days after error.hi and purchase inside 1 to 3 days after click"
 LETTERS = {"c": "click*", "e": "error*", "p": "purchase*"}
 
@@ -401,5 +404,5 @@ OTHER: dict[str, tuple[Query, str | None]] = {
     "i7_incidence_two_events": (_years(required_events=2, washout="none", lookahead="historical"), _O + f", {_K}, m as (select d, avg(w.n / s.n) as v from w join (select year, n from w where d = 0 and n > 0) s using (year) group by 1), r as (select p.year, count(*) as n, count(*) filter ((select count(*) from f where f.pid = p.pid and f.year = p.year) < 2) as few from (select pid, min(year) as year from f group by pid) p group by p.year) select year, round(greatest(0.0, n - few * (select min(v) from m)), 6) as n from r"),
 }
 
-QUERIES: dict[str, Query] = {n: rows(spec[0]) for n, spec in ROWS.items()} | {n: q for n, (q, _) in OTHER.items()}
+QUERIES: dict[str, Query] = {n: rows(spec[0], any_base=n in ANY_BASE) for n, spec in ROWS.items()} | {n: q for n, (q, _) in OTHER.items()}
 SQL: dict[str, str] = {n: sql(*spec[1:]) for n, spec in ROWS.items()} | {n: s for n, (_, s) in OTHER.items() if s}

@@ -19,6 +19,8 @@ class Config:
     codebooks_dir: str | None = None
     #: Columns that order events of one person and day.
     tie: Sequence[str] | None = None
+    #: Whether changes in % divide by bases that aren't positive too, as SQL does, and not leave them out.
+    any_base: bool = False
     name: str = "default"
     backend: str | None = None
 

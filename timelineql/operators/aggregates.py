@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -30,18 +32,26 @@ def plain(func: str, v: Column, relative: bool, over=lambda c: c, framed: bool =
     return over({"mean": F.avg, "min": F.min, "max": F.max, "sd": F.stddev_samp, "var": F.var_samp}[func](v))
 
 
-def change(func: str, relative: bool, v: Column, base: Column) -> Column:
-    """How far v is above (rise) or below (fall) its base; a fraction of the base if relative, 0 where that isn't positive."""
+def quotient(gap: Column, base: Column) -> Column:
+    """The quotient by any base: infinite by 0, and 0 / 0 is NaN, which is above all numbers."""
+    return F.when(base == 0, F.signum(gap) * F.lit(math.inf)).otherwise(gap / base)
+
+
+def change(func: str, relative: bool | str, v: Column, base: Column) -> Column:
+    """How far v is above (rise) or below (fall) its base; a fraction of the base if relative, 0 where that isn't positive; the quotient in any case if
+    relative is "any"."""
     gap = v - base if func == "rise" else base - v
+    if relative == "any":
+        return quotient(gap, base)
     return F.when(base > 0, gap / base).otherwise(F.when(v.isNotNull(), 0.0)) if relative else gap
 
 
-def running(func: str, relative: bool, v: Column, upto: WindowSpec) -> Column:
+def running(func: str, relative: bool | str, v: Column, upto: WindowSpec) -> Column:
     """The change of each event from the lowest (rise) or highest (fall) so far; the greatest of a person's is the aggregate."""
     return change(func, relative, v, (F.min if func == "rise" else F.max)(v).over(upto))
 
 
-def of_array(func: str, relative: bool, events: Column, op_zero: bool = True) -> Column:
+def of_array(func: str, relative: bool | str, events: Column, op_zero: bool = True) -> Column:
     """The aggregate of an array of structs whose last field is v, in the order of the array; null values count as missing."""
     v = F.filter(F.transform(events, lambda e: e["v"]), lambda x: x.isNotNull())
     n = F.size(v)

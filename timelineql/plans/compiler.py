@@ -50,6 +50,11 @@ def number(log: EventLog, column: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def relative(log: EventLog, agg: A.AggregateExpr) -> bool | str:
+    """Whether the aggregate is in parts of its base, and "any" if that may be any number."""
+    return agg.relative and ("any" if log.config.any_base else True)
+
+
 def check(node: A.Node) -> None:
     """Raises where a shift or quantifier stands where it means nothing."""
     ok: set[int] = set()
@@ -271,9 +276,9 @@ class RowPlan:
         v = number(self.log, agg.column)
         v = self.add(("v", key), lambda: v if where is None else F.when(where, v), window=False)
         if func in G.ORDERED:
-            steps = self.add(("steps", key), lambda: G.running(func, agg.relative, v, self.rows.rowsBetween(Window.unboundedPreceding, 0)))
+            steps = self.add(("steps", key), lambda: G.running(func, relative(self.log, agg), v, self.rows.rowsBetween(Window.unboundedPreceding, 0)))
             return self.add(("agg", key), lambda: F.max(steps).over(self.person))
-        return self.add(("agg", key), lambda: G.plain(func, v, agg.relative, lambda c: c.over(self.person)))
+        return self.add(("agg", key), lambda: G.plain(func, v, relative(self.log, agg), lambda c: c.over(self.person)))
 
     def _AggregateExpr(self, node):
         return G.compared(self._over_person(node, None, node), node.op, node.value)
@@ -285,8 +290,8 @@ class RowPlan:
         if func in G.ORDERED:
             event = F.struct(F.coalesce(DAY, F.lit((1 << 31) - 1)).alias("day"), F.col(TIE).alias("tie"), v.alias("v"))
             events = self.add(("list", key), lambda: F.collect_list(event).over(frame))
-            return G.of_array(func, agg.relative, F.array_sort(events))
-        return self.add(("agg", key), lambda: G.plain(func, v, agg.relative, lambda c: c.over(frame), framed=True, zero=False))
+            return G.of_array(func, relative(self.log, agg), F.array_sort(events))
+        return self.add(("agg", key), lambda: G.plain(func, v, relative(self.log, agg), lambda c: c.over(frame), framed=True, zero=False))
 
     def _sliding(self, node, agg, frame, base) -> Column:
         """Whether some row's trailing frame passes; base: for rise and fall, what each value is measured from."""
@@ -326,11 +331,11 @@ class RowPlan:
         back = sorted((s - b, s - a) for a, b in spans)
         v = self.add((node, "v"), lambda: number(self.log, agg.column), window=False)
         if len(back) == 1 and func not in G.ORDERED:
-            value = self.add((node, "value"), lambda: G.plain(func, v, agg.relative, lambda c: c.over(self.days.rangeBetween(*back[0])), framed=True))
+            value = self.add((node, "value"), lambda: G.plain(func, v, relative(self.log, agg), lambda c: c.over(self.days.rangeBetween(*back[0])), framed=True))
         else:
             event = F.struct(F.coalesce(DAY, F.lit((1 << 31) - 1)).alias("day"), F.col(TIE).alias("tie"), v.alias("v"))
             lists = [self.add((node, "list", a, b), lambda a=a, b=b: F.collect_list(event).over(self.days.rangeBetween(a, b))) for a, b in back]
-            value = G.of_array(func, agg.relative, F.array_sort(F.concat(*lists)))
+            value = G.of_array(func, relative(self.log, agg), F.array_sort(F.concat(*lists)))
         return self.every_of(y & self.dated, G.compared(value, agg.op, agg.value), (node, "every"))
 
     def _aggregate_events(self, node):
@@ -435,7 +440,7 @@ class PersonPlan:
             func = G.SYNONYMS.get(node.func, node.func)
             if func not in G.ORDERED:
                 v = number(self.log, node.column)
-                value = G.plain(func, v, node.relative, lambda c: self.part((node, len(self.parts)), c))
+                value = G.plain(func, v, relative(self.log, node), lambda c: self.part((node, len(self.parts)), c))
                 return [(yes, "all", G.compared(value, node.op, node.value))]
         raise NotImplementedError
 
