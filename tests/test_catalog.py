@@ -50,3 +50,29 @@ def equal_sql(spark, path, name, events):
 @pytest.mark.parametrize("name,persons", [("g11_fall_relative", {0, 1, 2, 3, 4, 5, 7, 10, 12}), ("g11_rise_relative", {0, 1, 2, 3, 5, 7, 11})])
 def test_bases_of_zero(spark, tmp_path, name, persons):
     assert equal_sql(spark, tmp_path, name, [(1 + k, user, "purchase", v) for user, values in enumerate(BASES) for k, v in enumerate(values)]) == persons
+
+
+def test_means_that_are_the_threshold(spark, tmp_path):
+    """Added up by days the values of person 1 give a little over 50, and exactly, or in the order of the table, 50."""
+    values = [63.91, 80.01, 34.84, 13.71, 29.61, 78.8, 27.58, 34.94, 41.86, 94.74]
+    rows = [(8 + k, user, "view", v + (user == 2) * 0.01) for user in (1, 2) for k, v in enumerate(values)][::-1]
+    assert equal_sql(spark, tmp_path, "g22_anchored_outside", [(1, 1, "error", 150), (1, 2, "error", 150), *rows]) == {2}
+
+
+def test_sums_in_any_order(spark):
+    """Sums and means of all events of a person are those of exact sums."""
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from timelineql.operators import aggregates as G
+
+    rng = random.Random(5)
+    rows = [(g, round(rng.expovariate(0.02), 2) * (1 if g % 2 else rng.choice([-1, 1e4]))) for g in range(300) for _ in range(rng.randint(1, 80))]
+    rows += [(300, None), (301, None), (301, 2.5), (302, 1e300), (302, 1e300), (303, float("inf")), (303, 1.0)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    for r in df.groupBy("g").agg(*[G.plain(f, F.col("v"), False, zero=False).alias(f) for f in ("sum", "mean")]).collect():
+        v = [x for g, x in rows if g == r["g"] and x is not None]
+        want = (math.fsum(v), math.fsum(v) / len(v)) if v else (None, None)
+        assert (r["sum"], r["mean"]) == want

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -17,10 +19,20 @@ def compared(value: Column, op: str, threshold: float) -> Column:
     return F.coalesce(COMPARE[op](value, F.lit(float(threshold))), F.lit(False))
 
 
+def parts(v: Column) -> tuple[Column, Column]:
+    """v as whole 1024ths and a rest. Below 2 ** 43 sums of the former are exact in any order and those of rests nearly so, and the sum of both is
+    rounded once: means that are the threshold itself don't hang on the order of rows."""
+    small = F.abs(v) < 2.0**43
+    whole = F.when(small, F.rint(v * 1024) / 1024).otherwise(v)
+    return whole, F.when(small, v - whole).otherwise(0.0)
+
+
 def plain(func: str, v: Column, relative: bool, over=lambda c: c, framed: bool = False, zero: bool = True) -> Column:
-    """An aggregate that needs no order; over puts each part over a window; zero: a sum of nothing is 0."""
-    if func == "sum":
-        total = over(F.sum(v))
+    """An aggregate that needs no order; over puts each part over a window; framed: of few rows, added up in their order; zero: a sum of nothing is 0."""
+    if func == "sum" or func == "mean" and not framed:
+        total = over(F.sum(v)) if framed else reduce(add, [over(F.sum(part)) for part in parts(v)])
+        if func == "mean":
+            return total / F.nullif(over(F.count(v)), F.lit(0))
         return F.coalesce(total, F.lit(0.0)) if zero else total
     if func == "count":
         return over(F.count(v)).cast("double")
