@@ -47,7 +47,7 @@ def equal_sql(spark, path, name, events):
     return {r[0] for r in want}
 
 
-@pytest.mark.parametrize("name,persons", [("g11_fall_relative", {0, 1, 2, 3, 4, 5, 7, 10, 12}), ("g11_rise_relative", {0, 1, 2, 3, 5, 7, 11})])
+@pytest.mark.parametrize("name,persons", [("g11_fall_relative", {0, 1, 2, 3, 4, 5, 7, 10, 12}), ("g11_rise_relative", {0, 1, 2, 3, 5, 7, 11}), ("g8_range_relative", {0, 1, 2, 3, 7, 10, 11, 12})])
 def test_bases_of_zero(spark, tmp_path, name, persons):
     assert equal_sql(spark, tmp_path, name, [(1 + k, user, "purchase", v) for user, values in enumerate(BASES) for k, v in enumerate(values)]) == persons
 

@@ -177,7 +177,7 @@ ROWS: dict[str, tuple] = {
 }
 
 #: Whose SQL divides by bases of 0 too.
-ANY_BASE = ("g11_fall_relative", "g11_rise_relative")
+ANY_BASE = ("g8_range_relative", "g11_fall_relative", "g11_rise_relative")
 
 FLAGSHIP = "sum(value) > 700 inside 7 days after error.hi and purchase inside 1 to 3 days after click"
 LETTERS = {"c": "click*", "e": "error*", "p": "purchase*"}

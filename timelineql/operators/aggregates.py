@@ -27,7 +27,7 @@ def parts(v: Column) -> tuple[Column, Column]:
     return whole, F.when(small, v - whole).otherwise(0.0)
 
 
-def plain(func: str, v: Column, relative: bool, over=lambda c: c, framed: bool = False, zero: bool = True) -> Column:
+def plain(func: str, v: Column, relative: bool | str, over=lambda c: c, framed: bool = False, zero: bool = True) -> Column:
     """An aggregate that needs no order; over puts each part over a window; framed: of few rows, added up in their order; zero: a sum of nothing is 0."""
     if func == "sum" or func == "mean" and not framed:
         total = over(F.sum(v)) if framed else reduce(add, [over(F.sum(part)) for part in parts(v)])
@@ -39,8 +39,7 @@ def plain(func: str, v: Column, relative: bool, over=lambda c: c, framed: bool =
     if func == "median":
         return over(F.percentile(v, F.lit(0.5)) if framed else F.median(v))
     if func == "range":
-        low, high = over(F.min(v)), over(F.max(v))
-        return F.when(low > 0, (high - low) / low) if relative else high - low
+        return spread(over(F.min(v)), over(F.max(v)), relative)
     return over({"mean": F.avg, "min": F.min, "max": F.max, "sd": F.stddev_samp, "var": F.var_samp}[func](v))
 
 
@@ -49,6 +48,13 @@ def quotient(gap: Column, base: Column) -> Column:
     return F.when(base == 0, F.signum(gap) * F.lit(math.inf)).otherwise(gap / base)
 
 
+def spread(low: Column, high: Column, relative: bool | str) -> Column:
+    """How far high is above low; a fraction of low if relative, null where that isn't positive; the quotient in any case if relative is "any"."""
+    if relative == "any":
+        return quotient(high - low, low)
+    return F.when(low > 0, (high - low) / low) if relative else high - low
+
+
 def change(func: str, relative: bool | str, v: Column, base: Column) -> Column:
     """How far v is above (rise) or below (fall) its base; a fraction of the base if relative, 0 where that isn't positive; the quotient in any case if
     relative is "any"."""
@@ -78,8 +84,7 @@ def of_array(func: str, relative: bool | str, events: Column, op_zero: bool = Tr
     if func in ("min", "max"):
         return F.array_min(v) if func == "min" else F.array_max(v)
     if func == "range":
-        low, high = F.array_min(v), F.array_max(v)
-        return F.when(low > 0, (high - low) / low) if relative else high - low
+        return spread(F.array_min(v), F.array_max(v), relative)
     if func == "median":
         s = F.array_sort(v)
         at = (n + 1) / 2
